@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, mixing, pii, secret_scan, sharding
+from . import exact_dedup, language_id, mixing, packing, pii, quality_mil, secret_scan, sharding
 from .common import crc_bucket, table
 
 
@@ -24,6 +24,16 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "accepted")
 
 
+def op3_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = crc_bucket(F.col("doc_id"), 5) == 0
+    model = quality_mil.fit(docs, table(spark, sf_dir, "labels").where(~held_out))
+    found = quality_mil.score(docs, model)
+    return found.select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = pii.spans(docs, pii.fit(docs))
@@ -59,14 +69,23 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), capacity=1024)
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
         "op2_language_id": op2_language_id,
+        "op3_quality_mil": op3_quality_mil,
         "op5_pii": op5_pii,
         "op6_sharding": op6_sharding,
         "op7_mixing": op7_mixing,
         "op8_secret_scan": op8_secret_scan,
+        "op9_packing": op9_packing,
     }
 
 
