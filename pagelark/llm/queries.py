@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, mixing, packing, pii, quality_mil, secret_scan, sharding
+from . import exact_dedup, language_id, mixing, packing, pii, quality_mil, secret_scan, sharding, topk_hamming
 from .common import crc_bucket, table
 
 
@@ -76,6 +76,11 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_topk_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk_hamming.top_k(vectors, F.col("vec_id") % 100 == 0, k=10)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
@@ -86,6 +91,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_mixing": op7_mixing,
         "op8_secret_scan": op8_secret_scan,
         "op9_packing": op9_packing,
+        "op10_topk_hamming": op10_topk_hamming,
     }
 
 
@@ -103,5 +109,21 @@ FROM normal
 """
 
 
+OP10_SQL = """
+WITH pairs AS (
+  SELECT q.vec_id AS query_id, v.vec_id AS neighbor_id,
+         CAST(list_sum(list_transform(list_zip(q.embedding, v.embedding),
+                                      lambda x: CASE WHEN (x[1] > 0) <> (x[2] > 0) THEN 1 ELSE 0 END)) AS BIGINT) AS hamming
+  FROM embeddings q JOIN embeddings v ON v.vec_id <> q.vec_id
+  WHERE q.vec_id % 100 = 0
+), ranked AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY hamming, neighbor_id) AS INTEGER) AS rank,
+         neighbor_id, hamming
+  FROM pairs
+)
+SELECT query_id, rank, neighbor_id, hamming FROM ranked WHERE rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op10_topk_hamming": OP10_SQL}
