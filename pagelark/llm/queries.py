@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, mixing, packing, pii, quality_mil, secret_scan, sharding, topk_hamming
+from . import exact_dedup, language_id, mixing, ngram_join, packing, pii, quality_mil, secret_scan, sharding, topk_hamming
 from .common import crc_bucket, table
 
 
@@ -34,6 +34,10 @@ def op3_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.components(table(spark, sf_dir, "documents").select("doc_id", "text"), ngram=4, percent=85)
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = pii.spans(docs, pii.fit(docs))
@@ -86,6 +90,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_exact_dedup": op1_exact_dedup,
         "op2_language_id": op2_language_id,
         "op3_quality_mil": op3_quality_mil,
+        "op4_ngram_join": op4_ngram_join,
         "op5_pii": op5_pii,
         "op6_sharding": op6_sharding,
         "op7_mixing": op7_mixing,
