@@ -51,9 +51,10 @@ def only(found: Column) -> Column:
 
 def label_place(page_lines: Column, patterns: tuple[str, ...]) -> Column:
     """struct<priority, line, label> of the row label: the first pattern that any line holds, at its first line."""
+    holds = lambda p: lambda line: line.rlike(p)
     hits = []
     for i, p in enumerate(patterns):
-        at = F.array_position(F.transform(page_lines, lambda s, p=p: s.rlike(p)), F.lit(True))
+        at = F.array_position(F.transform(page_lines, holds(p)), F.lit(True))
         label = F.regexp_extract(F.element_at(page_lines, at.cast("int")), p, 0)
         hits.append(F.when(at > 0, F.struct(F.lit(i).alias("priority"), at.cast("int").alias("line"), label.alias("label"))))
     return F.array_min(F.filter(F.array(*hits), lambda h: h.isNotNull()))
