@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelark.llm import exact_dedup, mixing, ngram_join, packing, quality_mil
-from pagelark.llm.common import Scratch, crc_bucket, table
+from pagelark.llm.common import crc_bucket, table
+from pagelark.sources.scratch import Workspace
 
 #: Documents whose score is below this go.
 QUALITY_FLOOR = 0.3
@@ -58,7 +59,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows."""
-    scratch = Scratch(spark)
+    scratch = Workspace(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = scratch.keep(stage(spark, docs, sf_dir), name)

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,42 +29,3 @@ def ascii_lower(text: Column) -> Column:
 def crc_bucket(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id written as text, modulo the given number; null ids count as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """A new path under the folder that all executors share.
-
-    The cluster names that folder in spark.checkpoint.dir. A local session may leave it unset, and then a temporary
-    folder of this machine does; on a cluster that would lose data, so it is an error there.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        master = spark.sparkContext.master
-        if not (master == "local" or master.startswith("local[")):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="pagelark-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/pagelark-{uuid.uuid4().hex}"
-
-
-class Scratch:
-    """Tables written to the shared folder, which cut lineage so that a lost executor costs no long recomputation."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-        self.root = shared_folder(spark)
-        self.paths: dict[int, str] = {}
-
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df and read it back."""
-        path = f"{self.root}/{name}-{len(self.paths)}"
-        df.write.parquet(path)
-        back = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(back)] = path
-        back._scratch_path = path
-        return back
-
-    def drop(self, df: DataFrame) -> None:
-        """Delete a table that no later step reads."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -12,10 +12,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from ..sources.scratch import Workspace
 
 
-def connected(edges: DataFrame, scratch: Scratch) -> DataFrame:
+def connected(edges: DataFrame, scratch: Workspace) -> DataFrame:
     """node and component (its smallest node) of every node in edges, which has the columns a and b."""
     both = edges.where("a <> b").select("a", "b").unionByName(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b")))
     graph = scratch.keep(both.distinct(), "graph")

@@ -21,7 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, ascii_lower
+from ..sources.scratch import Workspace
+from .common import ascii_lower
 
 
 def annotate(
@@ -38,7 +39,7 @@ def annotate(
     if keep not in ("smallest", "largest"):
         raise ValueError("keep must be 'smallest' or 'largest'")
     pick = F.min if keep == "smallest" else F.max
-    scratch = Scratch(docs.sparkSession)
+    scratch = Workspace(docs.sparkSession)
     norm: Column = normalise(F.coalesce(F.col(text_col), F.lit("")))
     made = ("keep_id", "group_size", "kept", "text_sha256")
     docs = docs.drop(*made)

@@ -4,14 +4,15 @@ Targets: the words of all sources are shared by weight; no source may exceed `ca
 leaves is shared again by weight among the rest. That is one water level L with target = min(cap * words, L * weight):
 sources in order of cap * words / weight are full up to some place, and prefix sums give the level there.
 
-Sampling: within a source each document expects target / words copies. The prefix sum of these plus one random offset
-of the source is followed along the documents, and one copy is emitted for each integer boundary crossed, so a document
-gets the floor or the ceiling of what it expects: never more than `cap` copies. Documents stand in order of size, so
-the words taken stay within about one document's size of the target.
+Sampling: the prefix sum of the documents' expected copies, plus one random offset of the source, is followed along the
+source's documents, and one copy is emitted for each integer boundary crossed. A document gets the floor or the ceiling
+of what it expects, so never more than `cap` copies. Documents stand in size classes, the largest first, and what a class
+expects is the target still open over the words still to come: what chance gives a few large documents too much or too
+little, the many small ones after them make good, so that even a source of some dozen documents comes near its target.
 
-The running position of a document is its number within a small cell (source, size class, hash slice) plus the count of
-all rows in earlier cells. Only the cells' counts go through a window over a source, so that no task sees the rows of a
-hot source together.
+The fold over the classes of a source sees one row for each class, a few hundred whatever the data. A document's place in
+its class is its number within a hash slice plus the count of the slices before, so that no task sees the rows of a hot
+source, or of a hot size, together.
 
 Cases: a null text has no words and its copies take none; a null source is a source of its own, ordered last; no
 documents give no rows. Rows that repeat an id are sampled independently. Reruns agree: order and offset come from
@@ -21,6 +22,8 @@ which then replaces them.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 SLICES = 256
 
 #: Size classes for each doubling of size.
-CLASSES = 8
+CLASSES = 32
 
 
 def word_count(text: Column) -> Column:
@@ -59,6 +62,27 @@ def source_targets(sized: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0
     )
 
 
+def _expected(cap: float) -> Column:
+    """array<struct<c, start, rate>>: for each of `classes` where its prefix sum starts and what each document expects.
+
+    A class expects the words still open over the words still to come; what it then takes is known from the boundaries
+    that its documents cross, at the class's mean size.
+    """
+    none = F.expr("cast(array() as array<struct<c:int,start:double,rate:double>>)")
+    zero = F.struct(F.col("target").alias("open"), F.col("source_size").cast("double").alias("ahead"), F.lit(0.0).alias("at"), none.alias("out"))
+
+    def step(s: Column, k: Column) -> Column:
+        rate = F.when(s["ahead"] > 0, F.least(F.lit(cap), F.greatest(F.lit(0.0), s["open"] / s["ahead"]))).otherwise(F.lit(0.0))
+        end = s["at"] + k["n"] * rate
+        copies = (F.floor(end + F.col("_offset")) - F.floor(s["at"] + F.col("_offset"))).cast("double")
+        one = F.struct(k["c"].alias("c"), s["at"].alias("start"), rate.alias("rate"))
+        return F.struct(
+            (s["open"] - copies * k["words"] / k["n"]).alias("open"), (s["ahead"] - k["words"]).alias("ahead"), end.alias("at"), F.concat(s["out"], F.array(one)).alias("out")
+        )
+
+    return F.aggregate("classes", zero, step, lambda s: s["out"])
+
+
 def systematic_copies(
     docs: DataFrame,
     weights: tuple[float, ...] = (1.0, 2.0, 3.0),
@@ -83,25 +107,28 @@ def systematic_copies(
         placed.groupBy(F.col(source_col).alias("source"), "_class", "_slice")
         .agg(F.count(F.lit(1)).alias("_n"), F.sum("size").alias("size"))
     )
-    in_source = Window.partitionBy("source").orderBy("_class", "_slice").rowsBetween(Window.unboundedPreceding, -1)
     offset = F.pmod(F.xxhash64(F.col("source"), F.lit(seed + 1)), F.lit(1 << 20)) / F.lit(float(1 << 20))
     targets = source_targets(cells.select("source", "size"), weights, cap)
-    rates = targets.select(
-        F.col("source").alias("_s"),
-        "source_size",
-        "target",
-        F.when(F.col("source_size") > 0, F.least(F.lit(float(cap)), F.col("target") / F.col("source_size"))).otherwise(0.0).alias("_rate"),
+    by_class = cells.groupBy("source", "_class").agg(F.sum("_n").alias("n"), F.sum("size").alias("words"))
+    largest_first = F.array_sort(F.collect_list(F.struct((-F.col("_class")).alias("c"), F.col("n").cast("double").alias("n"), F.col("words").cast("double").alias("words"))))
+    expectations = (
+        by_class.groupBy("source").agg(largest_first.alias("classes"))
+        .withColumn("_offset", offset)
+        .join(targets.withColumnRenamed("source", "_t"), F.col("source").eqNullSafe(F.col("_t")))
+        .select("source", "_offset", "source_size", "target", F.explode(_expected(float(cap))).alias("e"))
+        .select(F.col("source").alias("_s"), "_offset", "source_size", "target", (-F.col("e.c")).alias("_k"), F.col("e.start").alias("_start"), F.col("e.rate").alias("_rate"))
     )
+    earlier = Window.partitionBy("source", "_class").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
-        cells.withColumn("_start", F.coalesce(F.sum("_n").over(in_source), F.lit(0)))
-        .withColumn("_offset", offset)
-        .join(rates, F.col("source").eqNullSafe(F.col("_s")))
-        .select("_s", F.col("_class").alias("_c"), F.col("_slice").alias("_l"), "_start", "_offset", "source_size", "target", "_rate")
+        cells.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+        .join(expectations, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_class") == F.col("_k")))
+        .select("_s", F.col("_class").alias("_c"), F.col("_slice").alias("_l"), "_before", "_start", "_rate", "_offset", "source_size", "target")
     )
     order = Window.partitionBy(source_col, "_class", "_slice").orderBy("size", "_tie", F.xxhash64(text_col))
     numbered = placed.withColumn("_row", F.row_number().over(order))
-    position = F.col("_start") + F.col("_row")
-    crossed = F.floor(position * F.col("_rate") + F.col("_offset")) - F.floor((position - 1) * F.col("_rate") + F.col("_offset"))
+    reached = lambda place: F.floor(F.col("_start") + place * F.col("_rate") + F.col("_offset"))
+    place = F.col("_before") + F.col("_row")
+    crossed = F.least(F.lit(math.ceil(cap)), reached(place) - reached(place - 1))
     same_cell = (
         F.col(source_col).eqNullSafe(F.col("_s")) & (F.col("_class") == F.col("_c")) & (F.col("_slice") == F.col("_l"))
     )
@@ -109,7 +136,7 @@ def systematic_copies(
         numbered.join(starts, same_cell)
         .withColumn("copies", crossed.cast("long"))
         .withColumn("taken", F.col("copies") * F.col("size"))
-        .drop("_class", "_tie", "_slice", "_row", "_s", "_c", "_l", "_start", "_offset", "_rate")
+        .drop("_class", "_tie", "_slice", "_row", "_s", "_c", "_l", "_before", "_start", "_offset", "_rate")
     )
 
 

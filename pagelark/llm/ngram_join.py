@@ -40,7 +40,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from ..sources.scratch import Workspace
 from .components import connected
 
 CELLS = 1 << 17
@@ -326,7 +326,7 @@ def _with_tokens(n: int):
 def components(docs: DataFrame, ngram: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: the id, n_shingles, component_id, n_links."""
     spark = docs.sparkSession
-    scratch = Scratch(spark)
+    scratch = Workspace(spark)
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("id"), F.col(id_col).isNotNull().alias("known"), F.col(text_col).alias("text"))
     described = scratch.keep(
         texts.mapInPandas(_described(ngram), "id long, known boolean, n long, one long, two long, cell int, seen long"), "sets"

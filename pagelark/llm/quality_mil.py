@@ -134,7 +134,8 @@ def encode(block: list[str]) -> tuple[np.ndarray, np.ndarray]:
         length = np.bincount(w, minlength=len(word_at))
         of = lambda what: np.bincount(w[kind[in_word] == what], minlength=len(word_at))
         upper, symbols = of(UPPER), of(SYMBOL)
-        per = np.maximum(np.bincount(word_passage, minlength=n), 1)
+        held = np.bincount(word_passage, minlength=n)
+        per = np.maximum(held, 1)
         mean = lambda x: np.bincount(word_passage, weights=x.astype(float), minlength=n) / per
         out[:, 9] = mean(length) / 10
         out[:, 10] = np.sqrt(np.maximum(mean(length.astype(float) ** 2) - mean(length) ** 2, 0)) / 10
@@ -156,7 +157,7 @@ def encode(block: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(pair):
             new_pair[1:] = _first_seen(word_doc[1:], pair) | (word_doc[1:] != word_doc[:-1])
         out[:, 17] = mean(new_pair)
-        out[:, 18] = per / PASSAGE_WORDS
+        out[:, 18] = held / PASSAGE_WORDS
         hashed = np.bincount(word_passage * HASHED + (key >> np.uint64(60)).astype(np.int64) % HASHED, minlength=n * HASHED)
         out[:, 20:] = hashed.reshape(n, HASHED) / per[:, None]
     return out, np.repeat(np.arange(len(block)), passages)
