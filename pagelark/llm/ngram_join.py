@@ -83,9 +83,11 @@ def _hashed(data: bytes, sizes: np.ndarray, n: int) -> Iterator[np.ndarray]:
     w = (np.cumsum(starts) - 1)[at]
     step = at - word_at[w] if len(word_at) else at
     mixed = _TABLE[(step % _STEPS) * 256 + raw[at]]
-    if len(step) and step.max() >= _STEPS:
-        # later places of a very long word reuse the table, times a multiplier of their own
-        mixed = mixed * finalised(((step // _STEPS).astype(np.uint64) + U(1)) * U(0xA0761D6478BD642F) | U(1))
+    late = np.flatnonzero(step >= _STEPS)
+    if len(late):
+        # later places of a very long word reuse the table, times a multiplier of their own; all others stay as they are,
+        # so that a word's hash does not depend on what else is hashed in the block
+        mixed[late] *= finalised(((step[late] // _STEPS).astype(np.uint64) + U(1)) * U(0xA0761D6478BD642F)) | U(1)
     edges = np.searchsorted(at, word_at)
     words = finalised(np.add.reduceat(mixed, edges)) if len(word_at) else mixed[:0]
     ends = np.cumsum(sizes)

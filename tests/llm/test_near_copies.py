@@ -90,6 +90,31 @@ def test_blocks_of_a_large_cluster(spark, rows, monkeypatch):
     assert got == brute(rows, 4, 85)
 
 
+def test_hashes_do_not_depend_on_the_block(monkeypatch):
+    rng = random.Random(8)
+    plain = " ".join(f"w{rng.randrange(3000)}" for _ in range(80))
+    others = ["https://" + "a/b" * 40, "漢字" * 30, "x" * 64, "y" * 65, "y" * 64 + "z", "q" * 300, None, ""]
+    alone = [next(ngram_join.ngram_sets([t], 4)) for t in [plain, *others]]
+    for size in (1, 100, 500, 1 << 20):
+        monkeypatch.setattr(ngram_join, "CHUNK_BYTES", size)
+        for together in (ngram_join.ngram_sets([plain, *others], 4), [*ngram_join.ngram_sets([*others[::-1], plain], 4)][::-1]):
+            assert all(np.array_equal(a, b) for a, b in zip(alone, together, strict=True))
+    assert len({t.tobytes() for t in alone}) == len(alone) - 1  # null and empty are alike
+
+
+@pytest.mark.parametrize("partitions", [1, 3, 8])
+def test_copies_in_blocks_with_and_without_long_words(spark, monkeypatch, partitions):
+    rng = random.Random(9)
+    bases = [[f"w{rng.randrange(3000)}" for _ in range(80)] for _ in range(12)]
+    long_word = "http://example.org/" + "path/" * 20
+    texts = [" ".join(b) for b in bases] + [f"{long_word} {i}" for i in range(3)] + [" ".join(edited(rng, b, k % 3)) for k, b in enumerate(bases)]
+    rows = list(enumerate(texts)) + [(100 + i, f"{' '.join(b)} {long_word}") for i, b in enumerate(bases)]
+    monkeypatch.setattr(ngram_join, "CHUNK_BYTES", 2000)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(partitions, "doc_id")
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["n_links"]) for r in ngram_join.components(docs, 4, 85).collect()), key=str)
+    assert got == brute(rows, 4, 85)
+
+
 def test_every_linked_pair_meets_in_a_bucket():
     rng = np.random.default_rng(2)
     for percent in (80, 85, 93):
