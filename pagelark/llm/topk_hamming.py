@@ -80,6 +80,7 @@ def search(codes: np.ndarray, ids: list[np.ndarray], query_codes: np.ndarray, qu
     flat_ids = np.concatenate(ids)
     held = np.array([len(x) for x in ids])
     first = np.cumsum(held) - held
+    repeated = len(np.unique(flat_ids)) < len(flat_ids)
     results = []
     for at in range(0, len(query_codes), STEP):
         here = np.arange(at, min(at + STEP, len(query_codes)))
@@ -115,6 +116,12 @@ def search(codes: np.ndarray, ids: list[np.ndarray], query_codes: np.ndarray, qu
                 fresh = (np.repeat(q, times), np.repeat(d, times), flat_ids[np.repeat(first[e], times) + spread])
                 other = fresh[2] != query_ids[fresh[0]]
                 q, d, i = (np.concatenate([old, new[other]]) for old, new in zip(best, fresh))
+                if repeated:  # an id with several codes takes one place, that of the nearest
+                    order = np.lexsort((d, i, q))
+                    q, d, i = q[order], d[order], i[order]
+                    new = np.ones(len(q), bool)
+                    new[1:] = (q[1:] != q[:-1]) | (i[1:] != i[:-1])
+                    q, d, i = q[new], d[new], i[new]
                 order = np.lexsort((i, d, q))
                 q, d, i = q[order], d[order], i[order]
                 rank = np.arange(len(q)) - np.searchsorted(q, q)
@@ -138,8 +145,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, dims: int | None =
     whole = F.col(id_col).isNotNull() & vector.isNotNull() & (F.size(vector) == dims) & ~F.exists(vector, lambda x: x.isNull())
     coded = vectors.where(whole).select(F.col(id_col).cast("long").alias("id"), code_of(vector, dims).alias("code"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     by_code = Window.partitionBy("code").orderBy("id")
+    # made distinct first, so that repeated rows don't use up the k + 1 places of a code
     entries = (
-        coded.select("id", "code").withColumn("_n", F.row_number().over(by_code)).where(F.col("_n") <= k + 1).groupBy("code").agg(F.sort_array(F.collect_set("id")).alias("ids"))
+        coded.select("id", "code").distinct().withColumn("_n", F.row_number().over(by_code)).where(F.col("_n") <= k + 1).groupBy("code").agg(F.sort_array(F.collect_set("id")).alias("ids"))
     )
     asked = coded.where("asks").select(F.col("id").alias("query_id"), "code").distinct()
     chunks = max(1, -(-coded.count() // chunk))

@@ -180,6 +180,18 @@ def test_top_k_equals_brute_force(spark, dims, chunk):
     assert topk_hamming.top_k(docs.limit(0), F.col("vec_id") % 10 == 0).count() == 0
 
 
+@pytest.mark.parametrize("chunk", [1 << 13, 4])
+def test_top_k_counts_repeated_ids_once(spark, chunk):
+    rng = random.Random(4)
+    base = [rng.gauss(0, 1) for _ in range(32)]
+    flipped = lambda n: [-x if i in places else x for places in [set(rng.sample(range(32), n))] for i, x in enumerate(base)]
+    rows = [(10, base)] + [(1, base)] * 20 + [(i, base) for i in (2, 3, 4)] + [(5, flipped(1)) for _ in range(20)] + [(i, flipped(i - 4)) for i in (6, 7, 8, 9)]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    for k in (3, 5, 8):
+        got = topk_hamming.top_k(docs, F.col("vec_id") == 10, k=k, chunk=chunk).orderBy("rank").collect()
+        assert [(r["hamming"], r["neighbor_id"]) for r in got] == brute_top_k(rows, lambda i: i == 10, k)[10]
+
+
 def test_held_out_bucket(spark):
     got = spark.range(50).select("id", crc_bucket(F.col("id"), 4).alias("b")).collect()
     assert all(r["b"] == zlib.crc32(str(r["id"]).encode()) % 4 for r in got)
