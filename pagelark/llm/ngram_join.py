@@ -16,7 +16,8 @@ intersections are computed in blocks of at most about BLOCK sets, so a group nev
 never become rows. Out come link counts, and of each group a spanning forest of its links; their components are the
 result.
 
-Copies are collapsed at first: equal sets are a class, represented by its smallest id. Hot groups: classes and buckets are
+Copies are collapsed at first: equal sets are a class, represented by its smallest id, or, where some id has different
+texts, by 64 bits of its digest, with one text of its smallest id. Hot groups: classes and buckets are
 aggregated with map-side combine; the two joins back to the documents and to the signatures have one row for each key on
 the other side, so that adaptive execution can split a hot key's rows; a large cluster is dealt as pairs of blocks. What
 is broadcast has a fixed size: CELLS counts and a filter of FILTER_WORDS x 64 bits that tells which texts to read again.
@@ -123,6 +124,11 @@ def ngram_sets(texts: Iterable[str | None], n: int) -> Iterator[np.ndarray]:
         yield from _hashed(b"".join(block), np.array([len(x) for x in block]), n)
 
 
+def class_name(n: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """64-bit name of the class of equal sets, from its size and digest."""
+    return finalised(one + finalised(two + n)).view(np.int64)
+
+
 class Bands:
     """Size bands and the numbers that follow from the threshold in percent."""
 
@@ -212,14 +218,16 @@ def _described(n: int):
                 size.append(len(tokens))
                 one.append(tokens.sum(dtype=np.uint64))
                 two.append(finalised(tokens * U(0xE7037ED1A0B428DB)).sum(dtype=np.uint64))
-            yield pd.DataFrame({"id": batch["id"], "known": batch["known"], "n": size, "one": np.array(one, np.uint64).view(np.int64), "two": np.array(two, np.uint64).view(np.int64), "cell": -1, "seen": 0})
+            one, two = np.array(one, np.uint64), np.array(two, np.uint64)
+            name = class_name(np.array(size, np.uint64), one, two)
+            yield pd.DataFrame({"id": batch["id"], "known": batch["known"], "mark": batch["mark"], "n": size, "one": one.view(np.int64), "two": two.view(np.int64), "name": name, "cell": -1, "seen": 0})
         there = np.flatnonzero(counts)
-        yield pd.DataFrame({"id": 0, "known": False, "n": 0, "one": 0, "two": 0, "cell": there, "seen": counts[there]})
+        yield pd.DataFrame({"id": 0, "known": False, "mark": 0, "n": 0, "one": 0, "two": 0, "name": 0, "cell": there, "seen": counts[there]})
 
     return describe
 
 
-def _listed(n: int, percent: int, cells):
+def _listed(n: int, percent: int, cells, by_class: bool):
     def list_signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bands, frequent, met = Bands(percent), cells.value, set()
         for batch in batches:
@@ -229,6 +237,9 @@ def _listed(n: int, percent: int, cells):
                 if digest in met:  # a copy within the partition is found through its class
                     continue
                 met.add(digest)
+                if by_class:
+                    two = finalised(tokens * U(0xE7037ED1A0B428DB)).sum(dtype=np.uint64)
+                    doc = class_name(*(np.array([x], np.uint64) for x in (len(tokens), tokens.sum(dtype=np.uint64), two)))[0]
                 for k, a in signatures(tokens, bands, frequent):
                     keys.append(k)
                     asks.append(a)
@@ -330,21 +341,24 @@ def components(docs: DataFrame, ngram: int = 5, percent: int = 80, id_col: str =
     spark = docs.sparkSession
     scratch = Workspace(spark)
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("id"), F.col(id_col).isNotNull().alias("known"), F.col(text_col).alias("text"))
+    texts = texts.withColumn("mark", F.xxhash64("text"))
     described = scratch.keep(
-        texts.mapInPandas(_described(ngram), "id long, known boolean, n long, one long, two long, cell int, seen long"), "sets"
+        texts.mapInPandas(_described(ngram), "id long, known boolean, mark long, n long, one long, two long, name long, cell int, seen long"), "sets"
     )
     counts = np.zeros(CELLS, np.int64)
     for r in described.where("cell >= 0").groupBy("cell").agg(F.sum("seen").alias("seen")).collect():  # CELLS rows at most
         counts[r["cell"]] = r["seen"]
     rows = described.where("cell < 0").drop("cell", "seen")
     by_set = ["one", "two", "n"]
-    classes = scratch.keep(
-        rows.where("known AND n > 0").groupBy(*by_set).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("weight")), "classes"
-    )
+    filled = rows.where("known AND n > 0")
+    # an id names one class only, as a rule; if some id has different texts, classes are named by their digests
+    by_class = not filled.groupBy("id").agg((F.min("name") != F.max("name")).alias("several")).where("several").isEmpty()
+    named = [F.min("name").alias("rep"), F.min_by("mark", F.struct("id", "mark")).alias("mark")] if by_class else [F.min("id").alias("rep")]
+    classes = scratch.keep(filled.groupBy(*by_set).agg(*named, F.min("id").alias("least"), F.count(F.lit(1)).alias("weight")), "classes")
 
     # buckets with more than one document, at least one of which asks there
     listed = texts.where("known").select("id", "text").mapInPandas(
-        _listed(ngram, percent, spark.sparkContext.broadcast(counts)), "key long, id long, asks boolean"
+        _listed(ngram, percent, spark.sparkContext.broadcast(counts), by_class), "key long, id long, asks boolean"
     )
     once, asking = 1, 1 << 40
     buckets = (
@@ -356,7 +370,7 @@ def components(docs: DataFrame, ngram: int = 5, percent: int = 80, id_col: str =
     near = scratch.keep(
         listed.select("key", "id").join(buckets, "key").where("id <> center").groupBy("center", "id").agg(F.count(F.lit(1)).alias("shared")), "near"
     )
-    rep_of = rows.where("known AND n > 0").join(classes, by_set).select("id", "rep")
+    rep_of = classes.select(F.col("rep").alias("id"), "rep") if by_class else filled.join(classes, by_set).select("id", "rep")
     edges = (
         near.join(rep_of, "id")
         .select("center", F.col("rep").alias("b"))
@@ -367,12 +381,13 @@ def components(docs: DataFrame, ngram: int = 5, percent: int = 80, id_col: str =
     )
     clusters = connected(edges, scratch)
 
-    # the texts of the clusters' sets, and their blocks
+    # the texts of the clusters' sets, one for each class, and their blocks
+    source = ["id", "mark"] if by_class else ["id"]
     sizes = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     members = scratch.keep(
         clusters.join(sizes, "component")
-        .join(classes.select(F.col("rep").alias("node"), "weight"), "node")
-        .select(F.col("node").alias("id"), F.col("component").alias("cluster"), F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"), "weight"),
+        .join(classes.withColumnRenamed("rep", "node").withColumnRenamed("least", "id"), "node")
+        .select("node", *source, F.col("component").alias("cluster"), F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"), "weight"),
         "members",
     )
     groups = max(1, members.count() // BLOCK)
@@ -380,17 +395,17 @@ def components(docs: DataFrame, ngram: int = 5, percent: int = 80, id_col: str =
     in_word = members.select(F.floor(bit / 64).cast("int").alias("word"), F.expr("shiftleft(1L, cast(pmod(xxhash64(id, 'filter'), 64) as int))").alias("bit"))
     words = in_word.groupBy("word").agg(F.bit_or("bit").alias("bits"))
     likely = (
-        texts.where("known").select("id", "text", F.floor(bit / 64).cast("int").alias("word"), F.pmod(F.xxhash64("id", F.lit("filter")), F.lit(64)).cast("int").alias("place"))
+        texts.where("known").select(*source, "text", F.floor(bit / 64).cast("int").alias("word"), F.pmod(F.xxhash64("id", F.lit("filter")), F.lit(64)).cast("int").alias("place"))
         .join(F.broadcast(words), "word")
         .where(F.expr("getbit(bits, place) = 1"))
-        .select("id", "text")
+        .select(*source, "text")
     )
     alone = F.col("blocks") == 1
-    block = F.pmod(F.xxhash64("id", F.lit("block")), F.col("blocks")).cast("int")
+    block = F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int")
     dealt = (
-        likely.join(members, "id")
-        .dropDuplicates(["id"])
-        .select("id", "cluster", "weight", "blocks", block.alias("block"), "text")
+        likely.join(members, source)
+        .dropDuplicates(source)
+        .select(F.col("node").alias("id"), "cluster", "weight", "blocks", block.alias("block"), "text")
         .mapInPandas(_with_tokens(ngram), "id long, cluster long, weight long, blocks int, block int, tokens binary")
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select(
@@ -404,11 +419,19 @@ def components(docs: DataFrame, ngram: int = 5, percent: int = 80, id_col: str =
     found = scratch.keep(dealt.groupBy("deal", "alone", "i", "j").applyInPandas(_verified(percent), "a long, b long, n long"), "links")
 
     links = found.where("a = b").groupBy("a").agg(F.sum("n").alias("links"))
-    labels = connected(found.where("a <> b").select("a", "b"), scratch)
+    linked = found.where("a <> b").select("a", "b")
+    if by_class:
+        # the classes of an id's texts are one component, which bears its smallest id
+        first = filled.groupBy("id").agg(F.min("name").alias("a"))
+        linked = linked.unionByName(filled.join(first, "id").select("a", F.col("name").alias("b")).where("a <> b"))
+    labels = connected(linked, scratch)
+    if by_class:
+        of_class = labels.join(classes.select(F.col("rep").alias("node"), "least"), "node")
+        labels = labels.join(of_class.groupBy("component").agg(F.min("least").alias("first")), "component").select("node", F.col("first").alias("component"))
     labelled = (
         classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
         .join(links.withColumnRenamed("a", "rep"), "rep", "left")
-        .select(*by_set, F.coalesce("component", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"))
+        .select(*by_set, F.coalesce("component", "least").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"))
     )
     out = rows.join(labelled, by_set, "left")
     return out.select(

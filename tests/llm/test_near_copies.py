@@ -115,6 +115,22 @@ def test_copies_in_blocks_with_and_without_long_words(spark, monkeypatch, partit
     assert got == brute(rows, 4, 85)
 
 
+def test_repeated_ids_with_different_texts(spark):
+    rng = random.Random(11)
+    a, b, c, d, e = ([f"w{rng.randrange(3000)}" for _ in range(80)] for _ in range(5))
+    near = lambda words: " ".join(edited(rng, words, 1))
+    plain = " ".join
+    # ids 1 and 7 with two texts each; the near copies of the latter bear smaller ids; 8 and its own near copy share an id
+    rows = [(1, plain(a)), (1, plain(b)), (2, near(a)), (3, near(b)), (7, plain(c)), (7, plain(d)), (7, plain(d).upper()), (5, near(c)), (6, near(d)), (8, plain(e)), (8, near(e)), (9, "x y z"), (9, "")]
+    sizes = [(i, len(grams(t, 4))) for i, t in rows]
+    links = [1, 1, 1, 1, 1, 2, 2, 1, 2, 1, 1, 0, 0]
+    component = {1: 1, 2: 1, 3: 1, 5: 5, 6: 5, 7: 5, 8: 8, 9: 9}
+    want = sorted((i, n, component[i], k) for (i, n), k in zip(sizes, links, strict=True))
+    for partitions in (1, 4):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(partitions)
+        assert sorted(tuple(r) for r in ngram_join.components(docs, 4, 85).collect()) == want
+
+
 def test_every_linked_pair_meets_in_a_bucket():
     rng = np.random.default_rng(2)
     for percent in (80, 85, 93):
