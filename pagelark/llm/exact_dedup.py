@@ -71,5 +71,15 @@ def annotate(
 
 
 def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", normalise=ascii_lower) -> DataFrame:
-    """The columns of docs for the rows that stay."""
-    return annotate(docs, id_col, text_col, keep, normalise).where("kept").select(*docs.columns)
+    """The columns of docs for one row of each distinct text.
+
+    Rows that repeat an id with equal text, or a text whose ids are all null, are all flagged by annotate; of these one
+    stays, chosen by a hash of the whole row. That step is taken only if some id is repeated.
+    """
+    stay = annotate(docs, id_col, text_col, keep, normalise).where("kept")
+    repeated = docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    if repeated.isEmpty():
+        return stay.select(*docs.columns)
+    row = F.struct(*docs.columns)
+    # aggregated map-side, so that a hot text sends one row for each map task
+    return stay.groupBy("text_sha256").agg(F.min_by(row, F.xxhash64(row.cast("string"))).alias("_row")).select("_row.*")

@@ -56,6 +56,13 @@ def test_distinct_documents_keep_their_columns(spark):
     assert kept.columns == ["doc_id", "text", "source", "kept", "size"] and {r["doc_id"] for r in kept.collect()} == {1, 3}
 
 
+@pytest.mark.parametrize("keep", ["smallest", "largest"])
+def test_distinct_documents_keep_one_row_of_each_text(spark, keep):
+    rows = [(1, "a", "s"), (1, "a", "s"), (1, "A", "t"), (2, "a", "s"), (2, "a", "s"), (None, "n", "s"), (None, "n", "s"), (None, "N", "t"), (3, "c", "s"), (3, "d", "s"), (None, "", "s"), (None, None, "s")]
+    kept = [(r["doc_id"], lowered(r["text"])) for r in exact_dedup.distinct_documents(docs_of(spark, rows).repartition(3), keep=keep).collect()]
+    assert Counter(kept) == Counter([(1 if keep == "smallest" else 2, "a"), (None, "n"), (3, "c"), (3, "d"), (None, "")])
+
+
 def test_jump_hash_moves_only_into_the_new_shard(spark):
     keys = spark.range(3000).select("id", *[sharding.jump_hash(F.col("id"), n).alias(f"s{n}") for n in (1, 7, 40, 41)])
     rows = keys.collect()
