@@ -60,7 +60,10 @@ LEX = re.compile(
 )
 BARE = re.compile(r"[A-Za-z0-9+/_.=~!@#%^&*-]{6,}", re.ASCII)
 PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
-HINTS = re.compile(r"(?ai)pass|pwd|secret|token|cred|auth|bearer|key|private|dsn|salt")
+#: What a name of any score holds once only its letters and digits are left: the keys of SENSITIVE without their extensions.
+HINTS = tuple(k.encode() for k in SENSITIVE if not any(o != k and o in k for o in SENSITIVE))
+_LOWER = bytes(range(256)).lower()
+_BETWEEN = bytes(c for c in range(256) if not chr(c).isascii() or not chr(c).isalnum())
 SIGN = re.compile(r"[=:]|--|>")
 
 
@@ -141,9 +144,15 @@ def pairs(text: str) -> Iterator[tuple[str, str, int, int]]:
         i = max(j, i + 1) if first is not None else i + 1
 
 
+def hinted(text: str) -> bool:
+    """Whether a name in the text may be sensitive; true wherever name_score is above 0, also by parts that are joined."""
+    left = text.encode("ascii", "ignore").translate(_LOWER, _BETWEEN)
+    return any(k in left for k in HINTS)
+
+
 def literal_matches(text: str) -> list[tuple[int, int, str]]:
     """(start, rank, end) of literals whose pair reaches the threshold."""
-    if not (SIGN.search(text) and HINTS.search(text)):
+    if not (SIGN.search(text) and hinted(text)):
         return []
     found = set()
     for name, value, start, end in pairs(text):

@@ -180,6 +180,16 @@ def test_top_k_equals_brute_force(spark, dims, chunk):
     assert topk_hamming.top_k(docs.limit(0), F.col("vec_id") % 10 == 0).count() == 0
 
 
+def test_every_sensitive_name_reaches_the_lexer():
+    value = "aZ3$kQ9!xT7#mB2@wL5%"
+    names = ["encryption_signing", "signing", "access_session_access", "to_ken", "pWd", "client-secret", "API.Access", *secret_scan.SENSITIVE]
+    for name in names:
+        text = f'{name} = "{value}"'
+        reaches = secret_scan.name_score(name) + secret_scan.literal_score(value) >= secret_scan.THRESHOLD
+        assert secret_scan.hinted(text) and bool(secret_scan.literal_matches(text)) == reaches, name
+    assert secret_scan.literal_matches(f'encryption_signing = "{value}"') and not secret_scan.hinted("number = 12")
+
+
 @pytest.mark.parametrize("chunk", [1 << 13, 4])
 def test_top_k_counts_repeated_ids_once(spark, chunk):
     rng = random.Random(4)
