@@ -35,9 +35,20 @@ class Workspace:
         self.spark = spark
         self.root = shared_folder(spark)
         self.count = 0
+        self.kept: dict[int, tuple[DataFrame, str]] = {}
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         self.count += 1
         path = f"{self.root}/{self.count:03d}-{name}"
         df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        kept = self.spark.read.schema(df.schema).parquet(path)
+        self.kept[id(kept)] = (kept, path)
+        return kept
+
+    def drop(self, *kept: DataFrame) -> None:
+        """Delete the files of frames that keep gave; nothing may read them any more."""
+        jvm = self.spark.sparkContext._jvm
+        for df in kept:
+            if entry := self.kept.pop(id(df), None):
+                place = jvm.org.apache.hadoop.fs.Path(entry[1])
+                place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
