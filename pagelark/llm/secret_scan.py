@@ -3,8 +3,10 @@
 A text that may hold an assignment is lexed once, left to right, into names, string literals, bare words, numbers and
 operators. From that come name-literal pairs in the forms of source and configuration files: `name = "x"`,
 `name: x`, `"name": "x"`, `name := x`, `export NAME=x`, `<name>x</name>`, `--name x`. Literals joined by `+` or by
-standing side by side are one literal. A pair defines a constant; where the right side is itself a known name, its
-literal is propagated, so `a = "xyz"` and later `db_password = a` marks the literal of `a`. A literal is scored by how
+standing side by side are one literal. A pair defines a constant; where the right side is itself a name that the text
+defines, its literal is propagated, through several names and whichever comes first: `a = "xyz"` before or after
+`db_password = a` marks the literal of `a`. Of several definitions the last one before the use counts, else the first one
+after it. A literal is scored by how
 sensitive its target name is (parts of the name, split at case changes and punctuation) and by what it looks like; the
 pairs that reach the threshold are added spans, kind `literal`, unless a base span covers or meets them.
 
@@ -23,6 +25,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -52,7 +55,7 @@ PLACEHOLDER = re.compile(r"(?i)^(?:none|null|true|false|undefined|changeme|chang
 THRESHOLD = 1.0
 
 LEX = re.compile(
-    r"""(?P<comment>(?<!\S)(?:\#|//)\x20)|(?P<string>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)"""
+    r"""(?P<comment>(?<!\S)(?:\#|//)\x20)|(?P<string>(?<!\\)"(?:[^"\\\n]|\\.)*"|(?<!\\)'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)"""
     r"""|(?P<flag>(?<![\w-])--[A-Za-z][\w-]*)|(?P<open><[A-Za-z][\w.-]*>)"""
     r"""|(?P<word>[A-Za-z_$][\w$]*(?:[.-][A-Za-z_$][\w$]*)*)|(?P<number>\d[\w.+/=-]*)"""
     r"""|(?P<assign>:=|=>|==|!=|<=|>=|=|:)|(?P<plus>\+)|(?P<line>\n)|(?P<other>[^\s])""",
@@ -103,45 +106,61 @@ def literal_score(value: str) -> float:
 
 def pairs(text: str) -> Iterator[tuple[str, str, int, int]]:
     """(target name, literal, start, end) of the assignments of a text, constants propagated."""
-    tokens = [(m.lastgroup, m[0], m.start(), m.end()) for m in LEX.finditer(text)]
-    constants: dict[str, tuple[str, int, int]] = {}
-    i, n = 0, len(tokens)
+    tokens = [(m.lastgroup, m.start(), m.end()) for m in LEX.finditer(text)]
+    n = len(tokens)
+    word = lambda i: text[tokens[i][1] : tokens[i][2]]
+
+    def target(i: int) -> tuple[str, int]:
+        """Name that the token assigns to and the place of what it gets; "" if it is no target."""
+        kind = tokens[i][0]
+        if kind in ("word", "string") and i + 1 < n and tokens[i + 1][0] == "assign" and word(i + 1) in ("=", ":", ":=", "=>"):
+            return word(i).strip("\"'`"), i + 2
+        if kind == "flag" and i + 1 < n:
+            return word(i)[2:], i + 1 + (word(i + 1) == "=")
+        return (word(i)[1:-1], i + 1) if kind == "open" else ("", i)
+
+    defined = {name for i in range(n) if (name := target(i)[0])}
+    found: list[tuple[str, tuple[str, int, int] | None, str]] = []  # name, literal, the name that it refers to
+    i = 0
     while i < n:
-        kind, word, start, end = tokens[i]
-        name = ""
-        if kind == "comment":
-            i += 1
-            continue
-        if kind in ("word", "string") and i + 1 < n and tokens[i + 1][0] == "assign" and tokens[i + 1][1] in ("=", ":", ":=", "=>"):
-            name, at = word.strip("\"'`"), i + 2
-        elif kind == "flag" and i + 1 < n:
-            name, at = word[2:], i + 1 + (tokens[i + 1][1] == "=")
-        elif kind == "open":
-            name, at = word[1:-1], i + 1
+        name, at = target(i)
         if not name or at >= n:
             i += 1
             continue
         joined, first, last, j = "", None, None, at
-        while j < n:
-            k, w, s, e = tokens[j]
-            if k == "string" and len(w) >= 2:
-                joined, first, last = joined + w[1:-1], s + 1 if first is None else first, e - 1
-                j += 1 + (j + 2 < n and tokens[j + 1][0] == "plus" and tokens[j + 2][0] == "string")
-            else:
-                break
+        while j < n and tokens[j][0] == "string" and len(word(j)) >= 2:
+            joined, first, last = joined + word(j)[1:-1], tokens[j][1] + 1 if first is None else first, tokens[j][2] - 1
+            j += 1 + (j + 2 < n and tokens[j + 1][0] == "plus" and tokens[j + 2][0] == "string")
+        refers = ""
         if first is None and tokens[at][0] in ("word", "number", "plus", "other"):
-            k, w, s, e = tokens[at]
-            if k == "word" and w in constants:
-                joined, first, last = constants[w]
-                j = at + 1
-            elif bare := BARE.match(text, s):
-                joined, first, last = bare[0].rstrip(".=,;"), s, s + len(bare[0].rstrip(".=,;"))
-                while j < n and tokens[j][2] < last:
+            if tokens[at][0] == "word" and word(at) in defined:
+                refers = word(at)
+            if bare := BARE.match(text, tokens[at][1]):
+                joined, first = bare[0].rstrip(".=,;"), tokens[at][1]
+                last = first + len(joined)
+                while not refers and j < n and tokens[j][1] < last:
                     j += 1
-        if first is not None and joined:
-            constants[name] = (joined, first, last)
-            yield name, joined, first, last
-        i = max(j, i + 1) if first is not None else i + 1
+        literal = (joined, first, last) if first is not None and joined else None
+        if literal or refers:
+            found.append((name, literal, refers))
+        i = max(j, i + 1) if literal and not refers else (at if refers else i + 1)
+    places: dict[str, list[int]] = {}
+    for k, (name, *_) in enumerate(found):
+        places.setdefault(name, []).append(k)
+    for k, (name, literal, refers) in enumerate(found):
+        here, seen = k, {k}
+        while found[here][2]:
+            of = places.get(found[here][2], [])
+            cut = bisect_left(of, here)
+            further = of[cut - 1] if cut else next((x for x in of[cut:] if x != here), here)
+            if further in seen:
+                break
+            seen.add(further)
+            here = further
+        if not found[here][2]:
+            literal = found[here][1]
+        if literal:
+            yield name, *literal
 
 
 def hinted(text: str) -> bool:
