@@ -3,7 +3,8 @@
 A text becomes a vector of hashed character n-grams (one to three characters, letters in lower case, all else one
 space), weighted log(1 + tf) x idf and scaled to length one. The document frequencies come from all training documents.
 Spherical k-means then makes a few centroids for each language from a bounded sample of that language's training texts
-(`FIT_ROWS` for each language, chosen by a hash), one task for each language. A text gets the language of the centroid
+(`FIT_ROWS` for each language at most, those first in order of a hash of key and text), one task for each language. Texts
+become vectors where they are read, so what that task gets has a fixed size whatever the texts' lengths. A text gets the language of the centroid
 with the highest cosine. A centroid also carries the cosine below which hardly any of its own members fall; a text
 farther away than that is marked as not accepted.
 
@@ -22,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DIM = 1 << 13
@@ -136,12 +137,26 @@ def fit(training: DataFrame, text_col: str = "text", lang_col: str = "lang", key
     n = dict(found)
     df = np.array([n.get(i, 0) for i in range(DIM)], np.float64)
     idf = (np.log((1 + n.get(-1, 0)) / (1 + df)) + 1).astype(np.float32)
-    share = F.create_map(*[x for lang, count in known.items() for x in (F.lit(lang), F.lit(min(1.0, fit_rows / count)))])
-    draw = F.pmod(F.xxhash64(F.col(key_col), F.lit("language fit")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = rows.where(draw < share[F.col(lang_col)]).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    # drawn somewhat too often at first, so that few rows are ordered; the order then bounds the sample whatever is repeated
+    share = F.create_map(*[x for lang, count in known.items() for x in (F.lit(lang), F.lit(min(1.0, 1.2 * fit_rows / count + 64 / count)))])
+    order = F.pmod(F.xxhash64(F.col(key_col), F.col(text_col), F.lit("language fit")), F.lit(1 << 30))
+    drawn = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), order.alias("order")).where(F.col("order") / F.lit(float(1 << 30)) < share[F.col("lang")])
+
+    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            at = 0
+            for v in vectors(batch["text"], idf):
+                part = batch.iloc[at : at + len(v)]
+                yield pd.DataFrame({"lang": part["lang"], "order": part["order"], "vector": [x.tobytes() for x in v]})
+                at += len(v)
+
+    first = Window.partitionBy("lang").orderBy("order", "vector")
+    coded = drawn.mapInPandas(encode, "lang string, order long, vector binary")
+    sample = coded.withColumn("place", F.row_number().over(first)).where(F.col("place") <= fit_rows)
 
     def cluster(group: pd.DataFrame) -> pd.DataFrame:
-        c, floor = clusters(np.concatenate(list(vectors(sorted(group["text"]), idf))), centroids)
+        group = group.sort_values("place")
+        c, floor = clusters(np.stack([np.frombuffer(x, np.float32) for x in group["vector"]]), centroids)
         return pd.DataFrame({"lang": group["lang"].iloc[0], "at": range(len(c)), "centroid": [x.tobytes() for x in c], "floor": floor})
 
     made = sample.groupBy("lang").applyInPandas(cluster, "lang string, at int, centroid binary, floor float").collect()
