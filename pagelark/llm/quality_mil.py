@@ -7,11 +7,11 @@ branch) weighs the passages of the document, and the score is a logistic functio
 labels are known; the attention learns which passages they hang on.
 
 Fitting uses a bounded sample of labelled documents, FIT_DOCS of them drawn by a hash of the id. The sampled labels are
-few, by that bound, and are broadcast to pick the texts; passages are encoded in tasks, and only the sample's codes come
-to the driver, where the network is trained. Scoring has no shuffle: each text is encoded and scored in Arrow batches.
+few, by that bound, and are broadcast to pick the texts; passages are encoded in tasks, and only the sample's codes, one
+text for each id, come to the driver, where the network is trained. Scoring has no shuffle: each text is encoded and scored in Arrow batches.
 
 Cases: a text that is null or empty is one empty passage and gets a score like any other. Documents with a null label,
-or a null id, don't train; an id with several labels trains with each. If no label is there, or only one kind, the score
+or a null id, don't train; an id with several labels trains with each, one with several texts with the first by hash. If no label is there, or only one kind, the score
 is the share of label 1 (0.5 without any). Each row is scored for itself, so ties and repeats don't matter. Extra columns
 pass through untouched unless they bear the name of an output column, which then replaces them.
 """
@@ -249,12 +249,15 @@ def _encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
     """The model of at most about fit_docs labelled documents."""
-    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).cast("double").alias("label"))
+    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).cast("double").alias("label")).distinct()
     share = min(1.0, fit_docs / max(1, known.count()))
     draw = F.pmod(F.xxhash64("_id", F.lit("quality fit")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = known.where(draw < share)
     rows = (
         docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
+        .join(F.broadcast(sample.select("_id").distinct()), "_id")
+        .groupBy("_id")
+        .agg(F.min_by("text", F.xxhash64("text")).alias("text"))  # an id that documents repeat counts once
         .join(F.broadcast(sample), "_id")
         .select("label", "text")
         .mapInPandas(_encoded, "label double, codes binary")
