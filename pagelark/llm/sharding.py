@@ -6,10 +6,11 @@ either stays or moves into a new one. The sequence here is counter based, xxhash
 step would overflow 64 bits, which ANSI arithmetic rightly refuses.
 
 Slots number the rows of a shard without gaps. One window over a shard would put a fortieth of the corpus in one task,
-so rows are dealt by (shard, slice of the key's hash), numbered within that, and shifted by the prefix sum of the
+so rows are dealt by (shard, slice of a hash of key and text), numbered within that, and shifted by the prefix sum of the
 slices' counts: shards x SLICES numbers, a table of fixed size that may be broadcast.
 
-Cases: null keys hash as null, all to one shard; rows that repeat a key share its shard and get slots of their own.
+Cases: null keys hash as null, all to one shard; rows that repeat a key share its shard and get slots of their own. Rows
+that repeat both key and text are numbered in one task.
 A null text has the size of no bytes and the checksum of the empty text. Extra columns pass through untouched unless
 they bear the name of an output column, which then replaces them.
 """
@@ -19,6 +20,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Jumps that are tried for every key; more than the logarithm of any usual shard count. Keys that need more get them.
+JUMPS = 16
+
 #: Slices of a shard that are numbered independently; bounds the broadcast offsets to shards x SLICES rows.
 SLICES = 256
 
@@ -37,8 +41,12 @@ def jump_hash(key: Column, shards: int) -> Column:
             state["next"] < shards, F.struct(state["next"].alias("at"), further.alias("next"))
         ).otherwise(state)
 
-    # each step advances by at least one, so as many steps as shards always suffice
-    return F.aggregate(F.sequence(F.lit(1), F.lit(shards)), start, jump, lambda s: s["at"]).cast("int")
+    # a key takes about ln(shards) jumps; each advances by at least one, so as many as shards always suffice
+    tried = F.aggregate(F.sequence(F.lit(1), F.lit(min(JUMPS, shards))), start, jump)
+    if shards > JUMPS:
+        rest = lambda s: F.when(s["next"] < shards, F.aggregate(F.sequence(F.lit(JUMPS + 1), F.lit(shards)), s, jump)).otherwise(s)
+        tried = F.get(F.transform(F.array(tried), rest), F.lit(0))
+    return tried["at"].cast("int")
 
 
 def assign(
@@ -54,10 +62,10 @@ def assign(
     key = F.col(id_col)
     text = F.coalesce(F.col(text_col), F.lit(""))
     sliced = lambda df: df.withColumn("shard", jump_hash(key, shards)).withColumn(
-        "_slice", F.pmod(F.xxhash64(key, F.lit("slot")), F.lit(slices)).cast("int")
+        "_slice", F.pmod(F.xxhash64(key, F.col(text_col), F.lit("slot")), F.lit(slices)).cast("int")
     )
     offsets = (
-        sliced(docs.select(id_col))
+        sliced(docs.select(id_col, text_col))
         .groupBy("shard", "_slice")
         .agg(F.count(F.lit(1)).alias("_n"))
         .withColumn(
