@@ -58,7 +58,7 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    drawn = mixing.systematic_copies(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    drawn = mixing.draw(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return drawn.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
