@@ -1,16 +1,23 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
 A vector's code has one bit for each dimension, set where the value is positive. Codes are cut into m segments of about
-log2(n) bits, and a table for each segment lists the codes by the segment's value. A query looks up the values within
-radius r of its own, r = 0, 1, 2, ...: a code at distance d has some segment within floor(d / m), so once radius r is done
-every code up to distance m (r + 1) - 1 has been seen. The search of a query ends when its kth verified distance is
-within that. Nothing is approximate, and ties go to the smaller id.
+log2(n) bits, and a table lists the distinct codes by (segment, value). A query code looks up the values within radius r
+of its own, r = 0, 1, 2, ...: a code at distance d has some segment within floor(d / m), so once radius r is done every
+code up to distance m (r + 1) - 1 has been seen. The search of a query ends when its kth verified distance is within
+that. Nothing is approximate, and ties go to the smaller id.
 
-Spark deals the distinct codes into chunks of about CHUNK codes and the queries into blocks of about BLOCK; each pair of
-chunk and block is one group, which builds its tables, searches and returns k rows for each query; a window keeps the
-best k over all chunks. Neither side is broadcast, and a group's size is bounded by the two parameters whatever the
-data: codes are distinct by then, as a code shared by many rows keeps its k + 1 smallest ids, which a window with
-map-side limit finds and which is all that any answer can need.
+Each radius is one round of joins on (segment, value), for the queries that are still open: probes are the queries'
+segments with r bits flipped, what they meet is verified by the whole codes, and the best so far go on to the next round
+through the shared folder. A code that several segments would find counts under the first of its nearest segments, so it
+is verified once. The joins are on keys that adaptive execution can split where a value is hot; all of it is built-in
+functions.
+
+Where the probes of a radius would outnumber PROBES codes each of the open queries had rather be compared with all codes:
+queries in blocks against chunks of codes, k rows for each query from each chunk. That is also the exact way for tables
+of a few codes and for queries far from everything.
+
+A code shared by many rows keeps its k + 1 smallest ids, which a window with map-side limit finds and which is all that
+any answer can need. Queries of one code are searched once.
 
 Cases: rows with a null id, or whose vector is null, empty, has a null element or another length than `dims` (by default
 the greatest length), are neither queries nor answers. A query is not its own neighbour, but others with its code are.
@@ -21,152 +28,148 @@ other rows. Columns other than id and vector are ignored.
 from __future__ import annotations
 
 from itertools import combinations
+from math import ceil, comb, log2
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import Workspace
+
 CHUNK = 1 << 13
-BLOCK = 1 << 12
-#: Queries that one step of a group works on at once.
-STEP = 32
+BLOCK = 1 << 9
+#: Bits of a segment at most; bounds the table of masks that is broadcast.
+WIDTH = 20
+#: Share of all codes that a query's probes of one radius may amount to.
+PROBES = 0.25
 
 
 def code_of(vector: Column, dims: int) -> Column:
     """array<bigint> of the signs, 64 dimensions to a number."""
-    words = [
-        F.aggregate(
-            F.slice(vector, 64 * w + 1, 64),
-            F.lit(0).cast("long"),
-            lambda code, x: F.shiftleft(code, 1).bitwiseOR(F.when(x > 0, F.lit(1)).otherwise(F.lit(0)).cast("long")),
-        )
-        for w in range(-(-dims // 64))
-    ]
-    return F.array(*words)
-
-
-def segments_of(codes: np.ndarray, dims: int, width: int) -> list[tuple[np.ndarray, int]]:
-    """Values and width of each segment; codes is rows x words of uint64."""
-    bits = np.unpackbits(codes.astype(">u8").view(np.uint8).reshape(len(codes), -1), axis=1)
-    # the last word holds its dimensions in its low bits
-    tail = dims % 64
-    bits = np.concatenate([bits[:, : 64 * (dims // 64)], bits[:, bits.shape[1] - tail :]], axis=1) if tail else bits
-    count = max(1, -(-dims // width))
-    out = []
-    for part in np.array_split(np.arange(dims), count):
-        weight = (1 << np.arange(len(part) - 1, -1, -1)).astype(np.int64)
-        out.append((bits[:, part].astype(np.int64) @ weight, len(part)))
-    return out
-
-
-def _masks(width: int, radius: int) -> np.ndarray:
-    return np.array([sum(1 << i for i in c) for c in combinations(range(width), radius)], np.int64)
-
-
-def search(codes: np.ndarray, ids: list[np.ndarray], query_codes: np.ndarray, query_ids: np.ndarray, dims: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query place, id, distance) of the k nearest of each query, by distance and id."""
-    n = len(codes)
-    if not n or not len(query_codes) or k < 1:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    width = int(np.clip(round(np.log2(n + 1)), 4, 16))
-    both = segments_of(np.concatenate([codes, query_codes]), dims, width)
-    table = []
-    for values, w in both:
-        order = np.argsort(values[:n], kind="stable")
-        edge = np.searchsorted(values[:n][order], np.arange((1 << w) + 1))
-        table.append((values[:n], values[n:], w, order, edge))
-    m = len(table)
-    flat_ids = np.concatenate(ids)
-    held = np.array([len(x) for x in ids])
-    first = np.cumsum(held) - held
-    repeated = len(np.unique(flat_ids)) < len(flat_ids)
-    results = []
-    for at in range(0, len(query_codes), STEP):
-        here = np.arange(at, min(at + STEP, len(query_codes)))
-        best = (np.zeros(0, np.int64),) * 3  # query, distance, id
-        open_ = here
-        for radius in range(max(t[2] for t in table) + 1):
-            found_q, found_e = [], []
-            for j, (values, wanted, w, order, edge) in enumerate(table):
-                if radius > w:
-                    continue
-                probes = wanted[open_][:, None] ^ _masks(w, radius)[None, :]
-                low, high = edge[probes], edge[probes + 1]
-                count = (high - low).ravel()
-                total = int(count.sum())
-                if not total:
-                    continue
-                q = np.repeat(np.repeat(open_, probes.shape[1]), count)
-                step = np.arange(total) - np.repeat(np.cumsum(count) - count, count)
-                e = order[np.repeat(low.ravel(), count) + step]
-                # a code shows up under every segment within the radius; it counts under the first of the nearest
-                new = np.ones(total, bool)
-                for i, (others, theirs, *_rest) in enumerate(table):
-                    if i != j:
-                        d = np.bitwise_count(others[e] ^ theirs[q])
-                        new &= (d >= radius) if i > j else (d > radius)
-                found_q.append(q[new])
-                found_e.append(e[new])
-            if found_q:
-                q, e = np.concatenate(found_q), np.concatenate(found_e)
-                d = np.bitwise_count(codes[e] ^ query_codes[q]).sum(axis=1).astype(np.int64)
-                times = held[e]
-                spread = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
-                fresh = (np.repeat(q, times), np.repeat(d, times), flat_ids[np.repeat(first[e], times) + spread])
-                other = fresh[2] != query_ids[fresh[0]]
-                q, d, i = (np.concatenate([old, new[other]]) for old, new in zip(best, fresh))
-                if repeated:  # an id with several codes takes one place, that of the nearest
-                    order = np.lexsort((d, i, q))
-                    q, d, i = q[order], d[order], i[order]
-                    new = np.ones(len(q), bool)
-                    new[1:] = (q[1:] != q[:-1]) | (i[1:] != i[:-1])
-                    q, d, i = q[new], d[new], i[new]
-                order = np.lexsort((i, d, q))
-                q, d, i = q[order], d[order], i[order]
-                rank = np.arange(len(q)) - np.searchsorted(q, q)
-                best = (q[rank < k], d[rank < k], i[rank < k])
-            covered = m * (radius + 1) - 1
-            sure = np.bincount(best[0][best[1] <= covered] - at, minlength=len(here)) >= k
-            open_ = here[~sure[: len(here)]]
-            if not len(open_):
-                break
-        results.append(best)
-    q, d, i = (np.concatenate(x) for x in zip(*results))
-    return q, i, d
+    return F.array(*[_bits(vector, 64 * w, min(64, dims - 64 * w)) for w in range(-(-dims // 64))])
+
+
+def _bits(vector: Column, first: int, width: int) -> Column:
+    return F.aggregate(
+        F.slice(vector, first + 1, width),
+        F.lit(0).cast("long"),
+        lambda code, x: F.shiftleft(code, 1).bitwiseOR(F.when(x > 0, F.lit(1)).otherwise(F.lit(0)).cast("long")),
+    )
+
+
+def segment_bounds(dims: int, codes: int) -> list[tuple[int, int]]:
+    """(first dimension, width) of segments of about log2(codes) bits, near equal in width."""
+    width = min(WIDTH, max(4, round(log2(codes + 1))))
+    count = max(1, ceil(dims / width))
+    edges = [dims * i // count for i in range(count + 1)]
+    return [(a, b - a) for a, b in zip(edges, edges[1:])]
+
+
+def _apart(a: str, b: str) -> Column:
+    """Hamming distance of two arrays of numbers."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+
+
+def _nearest(found: DataFrame, most: int, k: int) -> DataFrame:
+    """The k nearest ids of each query code; most: how many codes an id has at most."""
+    by = Window.partitionBy("asked").orderBy("hamming", "id")
+    few = found.withColumn("_r", F.row_number().over(by)).where(F.col("_r") <= k * most).drop("_r")
+    if most > 1:
+        few = few.groupBy("asked", "id").agg(F.min("hamming").alias("hamming")).withColumn("_r", F.row_number().over(by)).where(F.col("_r") <= k).drop("_r")
+    return few.select("asked", "id", "hamming")
+
+
+def _probed(entries: DataFrame, asked: DataFrame, bounds: list[tuple[int, int]], radii: list[int]) -> DataFrame:
+    """(asked, id, hamming) of the codes that some segment finds at one of the radii and none at a smaller one."""
+    spark = entries.sparkSession
+    masks = [(j, r, sum(1 << i for i in c)) for j, (_, w) in enumerate(bounds) for r in radii if r <= w for c in combinations(range(w), r)]
+    masks = spark.createDataFrame(pd.DataFrame(masks, columns=["segment", "radius", "mask"]), "segment int, radius int, mask long")
+    probes = (
+        asked.select(F.col("code").alias("asked"), F.col("segments").alias("own"), F.posexplode("segments").alias("segment", "value"))
+        .join(F.broadcast(masks), "segment")
+        .select("asked", "own", "segment", "radius", F.col("value").bitwiseXOR(F.col("mask")).alias("value"))
+    )
+    index = entries.select("code", "segments", "ids", F.posexplode("segments").alias("segment", "value"))
+    spread = F.zip_with("own", "segments", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    # the nearest segment finds a code, the first of the nearest ones
+    finder = F.array_position(F.col("_spread"), F.array_min("_spread")) - 1
+    return (
+        probes.join(index, ["segment", "value"])
+        .withColumn("_spread", spread)
+        .where(F.col("segment") == finder)
+        .select("asked", F.explode("ids").alias("id"), _apart("asked", "code").cast("long").alias("hamming"))
+    )
+
+
+def _scanned(entries: DataFrame, asked: DataFrame, total: int, asking: int, k: int, chunk: int, block: int) -> DataFrame:
+    """(asked, id, hamming) by comparing each query code with all codes, k ids from each chunk."""
+    chunks, blocks = max(1, -(-total // chunk)), max(1, -(-asking // block))
+    dealt = lambda x, n: F.pmod(F.xxhash64(x, F.lit("deal")), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = entries.select("code", "ids").withColumn("chunk", dealt("code", chunks)).withColumn("block", every(blocks))
+    right = asked.select("code").withColumn("block", dealt("code", blocks)).withColumn("chunk", every(chunks))
+
+    def compared(index: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple] = []
+        if len(index) and len(queries):
+            codes = np.array(index["code"].tolist(), np.int64).view(np.uint64)
+            held = np.array([len(x) for x in index["ids"]])
+            ids = np.concatenate([np.asarray(x, np.int64) for x in index["ids"]])
+            for code in queries["code"]:
+                own = np.asarray(code, np.int64).view(np.uint64)
+                near = np.repeat(np.bitwise_count(codes ^ own).sum(axis=1, dtype=np.int64), held)
+                cut = np.partition(near, k - 1)[k - 1] if len(near) > k else near.max()
+                some = np.flatnonzero(near <= cut)
+                first = some[np.lexsort((ids[some], near[some]))][:k]
+                out += [(list(code), int(ids[i]), int(near[i])) for i in first]
+        return pd.DataFrame(out, columns=["asked", "id", "hamming"])
+
+    return left.groupBy("chunk", "block").cogroup(right.groupBy("chunk", "block")).applyInPandas(compared, "asked array<long>, id long, hamming long")
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 10, dims: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding", chunk: int = CHUNK, block: int = BLOCK) -> DataFrame:
     """query_id, rank (from 1), neighbor_id and hamming of the k nearest other rows of each row where is_query holds."""
+    scratch = Workspace(vectors.sparkSession)
     vector = F.col(vector_col)
     if dims is None:
         dims = vectors.agg(F.max(F.size(vector))).first()[0] or 0
     dims = max(int(dims), 1)
     whole = F.col(id_col).isNotNull() & vector.isNotNull() & (F.size(vector) == dims) & ~F.exists(vector, lambda x: x.isNull())
     coded = vectors.where(whole).select(F.col(id_col).cast("long").alias("id"), code_of(vector, dims).alias("code"), F.coalesce(is_query, F.lit(False)).alias("asks"))
+    # made distinct first, so that repeated rows don't use up the places of a code
+    coded = scratch.keep(coded.groupBy("id", "code").agg(F.max("asks").alias("asks")), "coded")
+    most = coded.groupBy("id").count().agg(F.max("count")).first()[0] or 1
+    need = k + 1  # the query itself may be among them
     by_code = Window.partitionBy("code").orderBy("id")
-    # made distinct first, so that repeated rows don't use up the k + 1 places of a code
-    entries = (
-        coded.select("id", "code").distinct().withColumn("_n", F.row_number().over(by_code)).where(F.col("_n") <= k + 1).groupBy("code").agg(F.sort_array(F.collect_set("id")).alias("ids"))
-    )
-    asked = coded.where("asks").select(F.col("id").alias("query_id"), "code").distinct()
-    chunks = max(1, -(-coded.count() // chunk))
-    blocks = max(1, -(-asked.count() // block))
-    dealt = lambda x, n: F.pmod(F.xxhash64(x), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = entries.withColumn("chunk", dealt("code", chunks)).withColumn("block", every(blocks))
-    right = asked.withColumn("block", dealt("query_id", blocks)).withColumn("chunk", every(chunks))
-    words = -(-dims // 64)
-
-    def searched(index: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        as_codes = lambda s: np.array(s.tolist(), np.int64).reshape(len(s), words).view(np.uint64)
-        asking = queries["query_id"].to_numpy(np.int64)
-        q, i, d = search(as_codes(index["code"]), [np.asarray(x, np.int64) for x in index["ids"]], as_codes(queries["code"]), asking, dims, k)
-        return pd.DataFrame({"query_id": asking[q], "neighbor_id": i, "hamming": d})
-
-    found = (
-        left.groupBy("chunk", "block").cogroup(right.groupBy("chunk", "block")).applyInPandas(searched, "query_id long, neighbor_id long, hamming long")
-    )
-    nearest = found.groupBy("query_id", "neighbor_id").agg(F.min("hamming").alias("hamming"))
+    entries = coded.withColumn("_n", F.row_number().over(by_code)).where(F.col("_n") <= need).groupBy("code").agg(F.sort_array(F.collect_set("id")).alias("ids"))
+    total = coded.select("code").distinct().count()
+    bounds = segment_bounds(dims, total)
+    # a segment's value from the bits of the words that it lies in
+    bit = lambda d: F.call_function("getbit", F.get("code", F.lit(d // 64)), F.lit(min(63, dims - 1 - 64 * (d // 64)) - d % 64)).cast("long")
+    values = [sum((F.shiftleft(bit(d), a + w - 1 - d) for d in range(a, a + w)), F.lit(0).cast("long")) for a, w in bounds]
+    segmented = F.array(*values)
+    entries = scratch.keep(entries.withColumn("segments", segmented), "entries")
+    open_ = scratch.keep(coded.where("asks").select("code").distinct().withColumn("segments", segmented), "asked")
+    asking = open_.count()
+    best, radii = None, [0, 1]
+    while asking and k > 0:
+        probes = sum(comb(w, r) for _, w in bounds for r in radii)
+        scan = probes > PROBES * total or min(w for _, w in bounds) < radii[-1]
+        found = _scanned(entries, open_, total, asking, need * most, chunk, block) if scan else _probed(entries, open_, bounds, radii)
+        known = open_.select(F.col("code").alias("asked"))
+        if best is not None and scan:
+            best = best.join(known, "asked", "left_anti")  # the comparison finds theirs again
+        best = scratch.keep(_nearest(found if best is None else best.unionByName(found), most, need), "best")
+        if scan:
+            break
+        covered = len(bounds) * (radii[-1] + 1) - 1
+        sure = best.where(F.col("hamming") <= covered).groupBy("asked").count().where(F.col("count") >= need).select(F.col("asked").alias("code"))
+        open_ = scratch.keep(open_.join(sure, "code", "left_anti"), "asked")
+        asking, radii = open_.count(), [radii[-1] + 1]
+    if best is None:
+        best = coded.where(F.lit(False)).select(F.col("code").alias("asked"), "id", F.lit(0).cast("long").alias("hamming"))
+    queries = coded.where("asks").select(F.col("id").alias("query_id"), F.col("code").alias("asked"))
+    answers = queries.join(best, "asked").where("id <> query_id").groupBy("query_id", F.col("id").alias("neighbor_id")).agg(F.min("hamming").alias("hamming"))
     order = Window.partitionBy("query_id").orderBy("hamming", "neighbor_id")
-    return nearest.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "neighbor_id", "hamming")
+    return answers.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "neighbor_id", "hamming")
