@@ -130,17 +130,20 @@ def fit(training: DataFrame, text_col: str = "text", lang_col: str = "lang", key
     """The model of the training rows; None if there are none with a language and a letter."""
     spark = training.sparkSession
     rows = training.where(F.col(lang_col).isNotNull() & has_letter(F.col(text_col)))
-    known = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
-    if not known:
+    order = F.xxhash64(F.col(key_col), F.col(text_col), F.lit("language fit"))
+    keyed = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), order.alias("order"))
+    first = Window.partitionBy("lang").orderBy("order")
+    few = keyed.select("lang", "order").withColumn("place", F.row_number().over(first)).where(F.col("place") <= fit_rows)
+    limits = {r[0]: r[1] for r in few.groupBy("lang").agg(F.max("order")).collect()}
+    if not limits:
         return None
     found = rows.select(F.col(text_col).alias("text")).mapInPandas(_frequencies, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()
     n = dict(found)
     df = np.array([n.get(i, 0) for i in range(DIM)], np.float64)
     idf = (np.log((1 + n.get(-1, 0)) / (1 + df)) + 1).astype(np.float32)
-    # drawn somewhat too often at first, so that few rows are ordered; the order then bounds the sample whatever is repeated
-    share = F.create_map(*[x for lang, count in known.items() for x in (F.lit(lang), F.lit(min(1.0, 1.2 * fit_rows / count + 64 / count)))])
-    order = F.pmod(F.xxhash64(F.col(key_col), F.col(text_col), F.lit("language fit")), F.lit(1 << 30))
-    drawn = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), order.alias("order")).where(F.col("order") / F.lit(float(1 << 30)) < share[F.col("lang")])
+    limit = F.create_map(*[x for pair in limits.items() for x in map(F.lit, pair)])[F.col("lang")]
+    # rows that repeat key and text are one
+    sample = keyed.where(F.col("order") <= limit).dropDuplicates(["lang", "order"])
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -150,16 +153,13 @@ def fit(training: DataFrame, text_col: str = "text", lang_col: str = "lang", key
                 yield pd.DataFrame({"lang": part["lang"], "order": part["order"], "vector": [x.tobytes() for x in v]})
                 at += len(v)
 
-    first = Window.partitionBy("lang").orderBy("order", "vector")
-    coded = drawn.mapInPandas(encode, "lang string, order long, vector binary")
-    sample = coded.withColumn("place", F.row_number().over(first)).where(F.col("place") <= fit_rows)
-
     def cluster(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("place")
+        group = group.sort_values("order")
         c, floor = clusters(np.stack([np.frombuffer(x, np.float32) for x in group["vector"]]), centroids)
         return pd.DataFrame({"lang": group["lang"].iloc[0], "at": range(len(c)), "centroid": [x.tobytes() for x in c], "floor": floor})
 
-    made = sample.groupBy("lang").applyInPandas(cluster, "lang string, at int, centroid binary, floor float").collect()
+    coded = sample.mapInPandas(encode, "lang string, order long, vector binary")
+    made = coded.groupBy("lang").applyInPandas(cluster, "lang string, at int, centroid binary, floor float").collect()
     made.sort(key=lambda r: (r["lang"], r["at"]))
     if not made:
         return None
