@@ -135,31 +135,31 @@ def pairs(text: str) -> Iterator[tuple[str, str, int, int]]:
         if first is None and tokens[at][0] in ("word", "number", "plus", "other"):
             if tokens[at][0] == "word" and word(at) in defined:
                 refers = word(at)
-            if bare := BARE.match(text, tokens[at][1]):
+            elif bare := BARE.match(text, tokens[at][1]):
                 joined, first = bare[0].rstrip(".=,;"), tokens[at][1]
                 last = first + len(joined)
-                while not refers and j < n and tokens[j][1] < last:
+                while j < n and tokens[j][1] < last:
                     j += 1
         literal = (joined, first, last) if first is not None and joined else None
         if literal or refers:
             found.append((name, literal, refers))
-        i = max(j, i + 1) if literal and not refers else (at if refers else i + 1)
+        i = at if refers else max(j, i + 1) if literal else i + 1
     places: dict[str, list[int]] = {}
     for k, (name, *_) in enumerate(found):
         places.setdefault(name, []).append(k)
-    for k, (name, literal, refers) in enumerate(found):
-        here, seen = k, {k}
-        while found[here][2]:
+    ends: dict[int, tuple[str, int, int] | None] = {}  # what the chain of names from an assignment on leads to
+    for k, (name, literal, _) in enumerate(found):
+        path, here = [], k
+        while here not in ends and found[here][2]:
+            ends[here] = None  # until known; a chain that comes back here leads nowhere
+            path.append(here)
             of = places.get(found[here][2], [])
             cut = bisect_left(of, here)
-            further = of[cut - 1] if cut else next((x for x in of[cut:] if x != here), here)
-            if further in seen:
-                break
-            seen.add(further)
-            here = further
-        if not found[here][2]:
-            literal = found[here][1]
-        if literal:
+            here = of[cut - 1] if cut else next((x for x in of[:2] if x != here), here)
+        end = ends[here] if here in ends else found[here][1]
+        for x in path:
+            ends[x] = end
+        if literal := (end or literal):
             yield name, *literal
 
 
