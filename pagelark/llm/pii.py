@@ -65,7 +65,7 @@ COUNTER_CUES = r"(?i)isbn|order|invoice|serial|version|sku|part\x20no|ref\b|arti
 VOTES = 5
 #: What the classifier sees of a span, 1 where it speaks for personal data and -1 where it doesn't.
 TRAITS = ("cue", "no_counter_cue", "free_left", "free_right", "known_prefix_or_ending", "checksum_or_structure", "usual_length", "varied")
-ACCEPT = 0.9
+ACCEPT = 0.8
 #: Characters before a span that cues are looked for in.
 CONTEXT = 24
 
