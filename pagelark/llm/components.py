@@ -4,7 +4,7 @@ In each round every node points to its smallest neighbour or itself, pointers ar
 is contracted to those roots. A node that isn't smaller than all its neighbours merges, so at least half of the nodes
 with edges go in every round and the number of rounds is logarithmic. Roots are smaller than what points to them, so the
 last root of a component is its smallest node. All steps are joins and map-side combined aggregations; their outcomes
-are written to the shared folder.
+are written to the shared folder, and deleted there once the next ones are.
 """
 
 from __future__ import annotations
@@ -26,18 +26,23 @@ def connected(edges: DataFrame, scratch: Workspace) -> DataFrame:
             up = roots.select(F.col("a").alias("p"), F.col("p").alias("q"))
             further = roots.join(up, "p").select("a", F.col("q").alias("p"), (F.col("q") != F.col("p")).alias("moved"))
             further = scratch.keep(further, "pointers")
-            moved = not further.where("moved").isEmpty()
-            roots = further.select("a", "p")
-            if not moved:
+            scratch.drop(roots)
+            roots = further
+            if roots.where("moved").isEmpty():
                 break
         if labels is None:
-            labels = roots.select(F.col("a").alias("node"), F.col("p").alias("component"))
+            labels = scratch.keep(roots.select(F.col("a").alias("node"), F.col("p").alias("component")), "labels")
         else:
             up = roots.select(F.col("a").alias("component"), "p")
-            labels = labels.join(up, "component", "left").select("node", F.coalesce("p", "component").alias("component"))
-        labels = scratch.keep(labels, "labels")
-        up = roots.select(F.col("a").alias("b"), F.col("p").alias("q"))
-        graph = scratch.keep(graph.join(roots, "a").join(up, "b").where("p <> q").select(F.col("p").alias("a"), F.col("q").alias("b")).distinct(), "graph")
+            merged = labels.join(up, "component", "left").select("node", F.coalesce("p", "component").alias("component"))
+            merged = scratch.keep(merged, "labels")
+            scratch.drop(labels)
+            labels = merged
+        here, there = roots.select("a", "p"), roots.select(F.col("a").alias("b"), F.col("p").alias("q"))
+        contracted = graph.join(here, "a").join(there, "b").where("p <> q").select(F.col("p").alias("a"), F.col("q").alias("b")).distinct()
+        contracted = scratch.keep(contracted, "graph")
+        scratch.drop(graph, roots)
+        graph = contracted
     if labels is None:
         labels = graph.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return labels

@@ -13,7 +13,9 @@ all documents in CELLS cells, and an empty segment costs most. Segments of wides
 
 Verification. Sets that share a bucket, through the smallest id in it, form candidate clusters. Within a cluster exact
 intersections are computed in blocks of at most about BLOCK sets, so a group never holds more than two blocks and pairs
-never become rows. Out come link counts, and of each group a spanning forest of its links; their components are the
+never become rows. Blocks of a large cluster are cut by set size first, in steps of the largest ratio that linked sets can
+have, and a block meets those of its own and the next step only; so a chain of sets of many sizes that a widespread passage
+holds together doesn't meet itself as a whole. Out come link counts, and of each group a spanning forest of its links; their components are the
 result.
 
 Copies are collapsed at first: equal sets are a class, represented by its smallest id, or, where some id has different
@@ -35,10 +37,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from math import log
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import Workspace
@@ -380,16 +383,19 @@ def components(docs: DataFrame, ngram: int = 5, percent: int = 80, id_col: str =
         .distinct()
     )
     clusters = connected(edges, scratch)
+    scratch.drop(near)
 
     # the texts of the clusters' sets, one for each class, and their blocks
     source = ["id", "mark"] if by_class else ["id"]
-    sizes = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    members = scratch.keep(
-        clusters.join(sizes, "component")
-        .join(classes.withColumnRenamed("rep", "node").withColumnRenamed("least", "id"), "node")
-        .select("node", *source, F.col("component").alias("cluster"), F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"), "weight"),
-        "members",
-    )
+    # linked sizes differ by a factor of 100 / percent at most, so their steps differ by one at most
+    step = F.floor(F.log("n") / F.lit(1.01 * log(100 / percent))).cast("int")
+    placed = clusters.withColumnRenamed("component", "cluster").join(classes.withColumnRenamed("rep", "node").withColumnRenamed("least", "id"), "node").withColumn("step", step)
+    by_step = placed.groupBy("cluster", "step").agg(F.count(F.lit(1)).alias("size"))
+    of = Window.partitionBy("cluster").orderBy("step")
+    beside = lambda move, there: F.when(move("step", 1).over(of) == F.col("step") + there, F.ceil(move("size", 1).over(of) / BLOCK)).otherwise(0).cast("int")
+    whole = F.sum("size").over(Window.partitionBy("cluster")) <= BLOCK
+    by_step = by_step.select("cluster", "step", whole.alias("alone"), F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"), beside(F.lag, -1).alias("below"), beside(F.lead, 1).alias("above"))
+    members = scratch.keep(placed.join(by_step, ["cluster", "step"]).select("node", *source, "cluster", "step", "alone", "blocks", "below", "above", "weight"), "members")
     groups = max(1, members.count() // BLOCK)
     bit = F.pmod(F.xxhash64("id", F.lit("filter")), F.lit(FILTER_WORDS * 64))
     in_word = members.select(F.floor(bit / 64).cast("int").alias("word"), F.expr("shiftleft(1L, cast(pmod(xxhash64(id, 'filter'), 64) as int))").alias("bit"))
@@ -400,22 +406,24 @@ def components(docs: DataFrame, ngram: int = 5, percent: int = 80, id_col: str =
         .where(F.expr("getbit(bits, place) = 1"))
         .select(*source, "text")
     )
-    alone = F.col("blocks") == 1
-    block = F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int")
+    named_block = lambda step, place: step.cast("long") * (1 << 24) + place
+    own = named_block(F.col("step"), F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")))
+    every = lambda n, there: F.transform(F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.expr("cast(array() as array<int>)")), lambda i: named_block(F.col("step") + there, i))
+    nothing = F.lit(0).cast("long")
     dealt = (
         likely.join(members, source)
         .dropDuplicates(source)
-        .select(F.col("node").alias("id"), "cluster", "weight", "blocks", block.alias("block"), "text")
-        .mapInPandas(_with_tokens(ngram), "id long, cluster long, weight long, blocks int, block int, tokens binary")
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select(
-            F.when(alone, -1 - F.pmod(F.xxhash64("cluster"), F.lit(groups))).otherwise(F.col("cluster")).alias("deal"),
-            alone.alias("alone"),
-            F.least("block", "other").alias("i"),
-            F.greatest("block", "other").alias("j"),
-            "cluster", "id", "block", "weight", "tokens",
+            F.col("node").alias("id"), "cluster", "weight", "alone", F.when(F.col("alone"), nothing).otherwise(own).alias("block"),
+            F.when(F.col("alone"), F.array(nothing)).otherwise(F.concat(every("below", -1), every("blocks", 0), every("above", 1))).alias("others"), "text",
         )
-    )
+        .mapInPandas(_with_tokens(ngram), "id long, cluster long, weight long, alone boolean, block long, others array<long>, tokens binary")
+        .withColumn("other", F.explode("others"))
+        .select(
+            F.when(F.col("alone"), -1 - F.pmod(F.xxhash64("cluster"), F.lit(groups))).otherwise(F.col("cluster")).alias("deal"),
+            "alone", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "cluster", "id", "block", "weight", "tokens",
+        )
+    )
     found = scratch.keep(dealt.groupBy("deal", "alone", "i", "j").applyInPandas(_verified(percent), "a long, b long, n long"), "links")
 
     links = found.where("a = b").groupBy("a").agg(F.sum("n").alias("links"))
