@@ -35,8 +35,19 @@ def normal_form(text: str) -> tuple[str, list[int]]:
     return "".join(parts), places
 
 
+class _Forms(dict):
+    """Matching form of each character, found once."""
+
+    def __missing__(self, code: int) -> str:
+        self[code] = "".join(" " if c.isspace() or c in SEPARATORS else c for c in normalize("NFKC", chr(code)).lower())
+        return self[code]
+
+
+_FORMS = _Forms()
+
+
 def normalised(text: str) -> str:
-    return normal_form(text)[0]
+    return " ".join(p for p in text.translate(_FORMS).split(" ") if p)
 
 
 def compacted(text: str) -> str:
@@ -50,8 +61,11 @@ def _normalise_batches(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def normalise(text: Column) -> Column:
-    """Matching form of a column. Spark has no NFKC, hence an Arrow function; compute it once for a corpus and keep it."""
-    return F.pandas_udf(_normalise_batches, "string")(text)
+    """Matching form of a column. Spark has no NFKC, hence an Arrow function for texts that aren't ASCII; the others take
+    built-in functions. Compute it once for a corpus and keep it."""
+    ascii_only = F.length(text) == F.octet_length(text)
+    plain = F.trim(F.regexp_replace(F.lower(text), r"[\s\x0b\x1c-\x1f._/()-]+", " "))
+    return F.when(ascii_only, plain).otherwise(F.pandas_udf(_normalise_batches, "string")(F.when(~ascii_only, text)))
 
 
 def compact(normal: Column) -> Column:

@@ -1,6 +1,6 @@
 """Catalog building: coverage, codes, splits, bridges, issues.
 
-Every operator takes and returns DataFrames without running a job. A side that is a small dimension is left to Spark's
+Every operator takes and returns DataFrames, and but for numbering none runs a job. A side that is a small dimension is left to Spark's
 own size estimate rather than forced into a broadcast.
 """
 
@@ -11,9 +11,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import Workspace
+
 #: The case that was used for development though its year belongs to validation; fixed values.
 EXCEPTION_YEAR, EXCEPTION_CODE = 2024, "02410"
 
+#: Symbols of a master's rows that only describe its columns; fixed values.
+HEADER_NOISE = ("", "股票代码")
+
 #: Order of severities; fixed values.
 SEVERITIES = ("info", "warning", "error", "critical")
 
@@ -102,13 +107,23 @@ def with_coverage(cases: DataFrame, stats: DataFrame, key: str) -> DataFrame:
 def bridge(cases: DataFrame, matches: DataFrame, master: DataFrame, case_key: str, match_keys: Sequence[str], master_keys: Sequence[str], status: str = "status") -> DataFrame:
     """cases with their match and, where that is "matched", the master row under the composite key.
 
-    A matched row without a master row keeps nulls and bridge_issue tells; nothing is dropped.
+    A matched row without a master row keeps nulls and bridge_issue tells; so it does where the master repeats the key, of
+    whose rows the first stands. No row is dropped or multiplied.
     """
-    side = master.select(*[F.col(k).alias(f"_m_{k}") for k in master_keys], *[c for c in master.columns if c not in master_keys], F.lit(True).alias("_found"))
+    rest = [c for c in master.columns if c not in master_keys]
+    side = (
+        master.groupBy(*[F.col(k).alias(f"_m_{k}") for k in master_keys])
+        .agg(F.min(F.struct(*rest)).alias("_row"), F.count(F.lit(1)).alias("_found"))
+        .select(*[f"_m_{k}" for k in master_keys], *[F.col(f"_row.{c}").alias(c) for c in rest], "_found")
+    )
     on = [F.col(a) == F.col(f"_m_{b}") for a, b in zip(match_keys, master_keys)]
     matched = F.col(status) == "matched"
     joined = cases.join(matches, case_key, "left").join(side, on=[matched, *on], how="left")
-    issue = F.when(F.col(status).isNull(), "match_row_missing").when(matched & F.col("_found").isNull(), "master_row_missing")
+    issue = (
+        F.when(F.col(status).isNull(), "match_row_missing")
+        .when(matched & F.col("_found").isNull(), "master_row_missing")
+        .when(F.col("_found") > 1, "master_key_repeated")
+    )
     return joined.withColumn("bridge_issue", issue).drop("_found", *[f"_m_{k}" for k in master_keys])
 
 
@@ -129,24 +144,20 @@ def severity_rollup(issues: DataFrame, code: str = "issue_code", severity: str =
 def numbered_issues(phases: Sequence[DataFrame], order: Sequence[str]) -> DataFrame:
     """Issues of all phases with DQ-0001, DQ-0002, ...: phase by phase, each in the given order.
 
-    A plain row number would bring all issues to one task. Rows are ranged over partitions in the total order instead,
-    numbered within their phase and code, and shifted by the counts of what comes before: a table of codes and phases.
+    A plain row number would bring all issues to one task, and one for each code those of a frequent code. Rows are ranged
+    over partitions in the total order instead, and kept there; each partition is numbered by itself and shifted by the
+    counts of the partitions before it.
     """
     tagged = None
     for i, phase in enumerate(phases):
         part = phase.withColumn("_phase", F.lit(i))
         tagged = part if tagged is None else tagged.unionByName(part)
-    group = ["_phase", order[0]]
-    counts = tagged.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy(*group).rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    within = Window.partitionBy(*group).orderBy(*order[1:]) if len(order) > 1 else Window.partitionBy(*group).orderBy(F.lit(1))
-    number = F.col("_before") + F.row_number().over(within)
-    return (
-        tagged.join(starts, group)
-        .withColumn("issue_id", F.format_string("DQ-%04d", number))
-        .drop("_phase", "_before")
-    )
+    ranged = tagged.repartitionByRange("_phase", *order).withColumn("_part", F.spark_partition_id())
+    ranged = Workspace(tagged.sparkSession).keep(ranged, "issues")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    number = F.col("_before") + F.row_number().over(Window.partitionBy("_part").orderBy("_phase", *order))
+    return ranged.join(starts, "_part").withColumn("issue_id", F.format_string("DQ-%04d", number)).drop("_phase", "_part", "_before")
 
 
 def coverage_issues(manifest: DataFrame) -> DataFrame:
@@ -178,6 +189,19 @@ def bridge_issues(bridged: DataFrame, workbook: str) -> DataFrame:
     )
 
 
+def without_header_noise(master: DataFrame, symbol: str = "Symbol") -> DataFrame:
+    """The master's rows without the descriptions below its header."""
+    return master.where(F.col(symbol).isNotNull() & ~F.col(symbol).isin(*HEADER_NOISE))
+
+
+def with_annotation_status(manifest: DataFrame, sample: DataFrame, code: str = "stock_code_raw", exception: str = EXCEPTION_CODE) -> DataFrame:
+    """manifest with annotation_status: reviewed by hand or automatically if the sample holds its code, else unreviewed."""
+    by_hand = F.lower("manual_review").eqNullSafe("true")
+    side = sample.groupBy(code).agg(F.max_by(F.when(by_hand, "shadow_manual_reviewed").otherwise("shadow_automatic"), by_hand.cast("int")).alias("_status"))
+    status = F.when(F.col(code) == exception, "provisional_gold").otherwise(F.coalesce("_status", F.lit("unreviewed")))
+    return manifest.join(side, code, "left").withColumn("annotation_status", status).drop("_status")
+
+
 def truncated(size: Column, malformed: Column, limit: int = 262_144) -> Column:
     """Whether a table looks cut off: it ends at the limit, or has malformed rows."""
     return (size == limit) | (malformed > 0)

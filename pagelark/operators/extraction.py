@@ -33,15 +33,31 @@ def _named(pairs) -> Column:
     return F.filter(F.array(*[F.when(cond, F.lit(name)) for name, cond in pairs]), lambda x: x.isNotNull())
 
 
+#: What a text holds, in upper case, wherever the pattern of a name matches; looked for first, as that is far cheaper.
+SIGNS = {
+    "CNY": ("人民", "RMB", "CNY"), "HKD": ("港", "HK"), "USD": ("美元", "US$", "USD"), "thousand": ("千元", "000", "THOUSAND"),
+    "ten_thousand": ("萬元", "万元"), "million": ("百萬元", "百万元", "MILLION"), "unit": ("元", "UNIT"),
+}
+
+
+def _signed(text: Column, name: str) -> Column:
+    """Whether a text may hold the name; İ and the Kelvin sign match i and k, but have upper cases of their own."""
+    upper = F.upper(F.translate(text, "\u0130\u212a", "IK"))
+    out = F.lit(False)
+    for sign in SIGNS[name]:
+        out = out | F.contains(upper, F.lit(sign))
+    return out
+
+
 def currencies(text: Column) -> Column:
     """All currencies that a text mentions."""
-    return _named((c, text.rlike(p)) for c, p in CURRENCIES.items())
+    return _named((c, _signed(text, c) & text.rlike(p)) for c, p in CURRENCIES.items())
 
 
 def units(text: Column) -> Column:
     """All units that a text mentions."""
     plain = F.regexp_replace(text, SCALED, "").rlike(PLAIN_UNIT)
-    return _named([*((u, text.rlike(p)) for u, p in UNITS.items()), ("unit", plain)])
+    return _named([*((u, _signed(text, u) & text.rlike(p)) for u, p in UNITS.items()), ("unit", _signed(text, "unit") & plain)])
 
 
 def only(found: Column) -> Column:
@@ -253,9 +269,10 @@ def conflicts(df: DataFrame, partition: list[str], order: list, facts: dict[str,
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     ranked = df.withColumn("place", F.row_number().over(w)).withColumn("_chosen", F.first(F.struct(*df.columns)).over(whole))
     same = F.lit(True) if comparable is None else comparable
-    differing = [F.when((F.col("place") > 1) & same & (F.col(f) != F.col(f"_chosen.{f}")), F.lit(code)) for f, code in facts.items()]
-    own = F.filter(F.array(*differing), lambda x: x.isNotNull())
-    return ranked.withColumn("conflicts", F.array_sort(F.array_distinct(F.flatten(F.collect_list(own).over(Window.partitionBy(*partition))))))
+    # a flag for each code, so that a row carries no more than the codes however many rows its partition has
+    every = Window.partitionBy(*partition)
+    differs = {code: (F.col("place") > 1) & same & (F.col(f) != F.col(f"_chosen.{f}")) for f, code in facts.items()}
+    return ranked.withColumn("conflicts", F.array_sort(_named((code, F.max(F.coalesce(differs[code], F.lit(False))).over(every)) for code in sorted(facts.values()))))
 
 
 def select(found: DataFrame, documents: DataFrame, metric: str) -> DataFrame:

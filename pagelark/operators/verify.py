@@ -33,9 +33,12 @@ def ladder(n_evidence: Column, requires_evidence: Column, requires_calculation:
 def with_external_evidence(risks: DataFrame, external: DataFrame) -> DataFrame:
     """risks with the evidence found for their code in place of their own, where there is any.
 
-    external has task_id, risk_code and evidence; risks of one code share it.
+    external has task_id, risk_code and evidence, and seq where its rows have an order; risks of one code share it.
     """
-    side = external.groupBy("task_id", "risk_code").agg(F.flatten(F.collect_list("evidence")).alias("_external"))
+    order = F.col("seq") if "seq" in external.columns else F.element_at("evidence", 1)["evidence_id"]
+    found = external.where(F.size("evidence") > 0)
+    gathered = F.array_sort(F.collect_list(F.struct(order.alias("o"), F.transform("evidence", lambda e: e["evidence_id"]).alias("i"), F.col("evidence").alias("e"))))
+    side = found.groupBy("task_id", "risk_code").agg(F.flatten(F.transform(gathered, lambda g: g["e"])).alias("_external"))
     joined = risks.join(side, ["task_id", "risk_code"], "left")
     return joined.withColumn("evidence", F.when(F.size("_external") > 0, F.col("_external")).otherwise(F.col("evidence"))).drop("_external")
 
@@ -73,6 +76,15 @@ def _available(risks: DataFrame, evidence: DataFrame | None) -> DataFrame:
     return risks.join(gathered, "risk_id", "left").withColumn("available", F.coalesce(F.transform("_a", lambda a: a["_found"]), none)).drop("_a")
 
 
+def known_evidence(risks: DataFrame, external: DataFrame) -> DataFrame:
+    """What a check may rely on: the risks' own evidence rows, with external ones in place of those of the same id."""
+    kind = risks.schema["evidence"].dataType.elementType
+    fields = [F.col(f.name).cast(f.dataType).alias(f.name) for f in kind.fields]
+    other = external.select(*fields).dropDuplicates(["evidence_id"])
+    own = risks.select(F.explode("evidence").alias("e")).select("e.*").dropDuplicates(["evidence_id"])
+    return own.join(other.select("evidence_id"), "evidence_id", "left_anti").select(*kind.names).unionByName(other)
+
+
 def verify_runway(risks: DataFrame, evidence: DataFrame | None = None) -> DataFrame:
     """risks with checks (map), verification_issues, verification_status and verification_notes.
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def write_results(results: DataFrame, path: str, key: str = "analysis_id") -> None:
@@ -14,8 +15,20 @@ def write_results(results: DataFrame, path: str, key: str = "analysis_id") -> No
 
 
 def read_result(spark: SparkSession, path: str, analysis_id: str, schema) -> DataFrame:
-    """The stored result of an id; no rows if there is none."""
-    return spark.read.schema(schema).json(path).where(F.col("analysis_id") == analysis_id)
+    """The stored result of an id, from its folder alone; no rows if there is none."""
+    with_key = f"{schema}, _key string" if isinstance(schema, str) else T.StructType([*schema.fields, T.StructField("_key", T.StringType())])
+    return spark.read.schema(with_key).json(path).where(F.col("_key") == analysis_id).drop("_key")
+
+
+def payload(results: DataFrame, fields: Sequence[str], key: str = "analysis_id") -> DataFrame:
+    """key and payload: the fields, in order, as one JSON text; missing ones are null in it."""
+    have = [F.col(c) if c in results.columns else F.lit(None).cast("string").alias(c) for c in fields]
+    return results.select(key, F.to_json(F.struct(*have), {"ignoreNullFields": "false"}).alias("payload"))
+
+
+def redacted(context: Column, hidden: Sequence[str] = ("path", "prospectus_path")) -> Column:
+    """A map without the entries that tell where files lie."""
+    return F.map_filter(context, lambda k, _: ~k.isin(*hidden))
 
 
 def differences(written: DataFrame, read: DataFrame) -> DataFrame:
@@ -26,9 +39,12 @@ def differences(written: DataFrame, read: DataFrame) -> DataFrame:
 
 
 def write_catalog(df: DataFrame, path: str, columns: Sequence[str], order: Sequence[str]) -> None:
-    """A catalog as CSV files with header: fixed columns, missing ones and nulls blank, rows ranged by the order."""
+    """A catalog as UTF-8 CSV files with byte-order mark and header: fixed columns, missing ones and nulls blank, rows
+    ranged by the order."""
     have = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) if c in df.columns else F.lit("").alias(c) for c in columns]
-    df.orderBy(*order).select(*have).write.mode("overwrite").option("header", True).option("emptyValue", "").option("escape", '"').csv(path)
+    # the mark stands before the first name of each file's header
+    marked = df.orderBy(*order).select(*have).toDF("\ufeff" + columns[0], *columns[1:])
+    marked.write.mode("overwrite").option("header", True).option("emptyValue", "").option("escape", '"').csv(path)
 
 
 def overview(title: str, counts: Sequence[Row], issues: Sequence[Row]) -> str:

@@ -28,10 +28,11 @@ def read_csv(spark: SparkSession, path: str, columns: Sequence[str] | None = Non
 def read_gb18030(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
     """GB18030 with header; rows of another length keep their text in _corrupt_record.
 
-    Spark reads this encoding only where spark.sql.legacy.javaCharsets is on, which this sets for the session. Cache or
+    Spark reads this encoding only where spark.sql.legacy.javaCharsets is on; the session's owner sets that. Cache or
     select _corrupt_record together with what is counted: column pruning would hide short rows.
     """
-    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    if spark.conf.get("spark.sql.legacy.javaCharsets", "false").lower() != "true":
+        raise ValueError("reading GB18030 needs spark.sql.legacy.javaCharsets=true")
     schema = T.StructType([T.StructField(c, T.StringType()) for c in (*columns, CORRUPT)])
     return spark.read.schema(schema).option("header", True).option("encoding", "GB18030").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).csv(path)
 
