@@ -79,7 +79,7 @@ REVIEW_STATUSES = ("draft", "first_reviewed", "double_reviewed", "adjudicated")
 
 
 def manifest_messages(risk_codes: Sequence[str]) -> Column:
-    """Messages of a manifest row, without its line number."""
+    """Messages of a manifest row, without its line number; their texts are fixed values of the contract."""
     c = F.col
     applies, denied = c("applicable") == "true", F.coalesce(c("applicable") != "true", F.lit(True))
     page = F.trim(c("gold_page")).try_cast("int")

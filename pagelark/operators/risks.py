@@ -128,6 +128,7 @@ def build(metrics: DataFrame, evidence: DataFrame) -> DataFrame:
     burn = monthly_burn(flow, months)
     level = runway_level(cash, flow, months)
     amounts = lambda x: F.concat_ws(" ", written(x), F.col("c.currency"), F.col("c.unit"))
+    # fixed values: the words of the conclusion
     conclusion = F.concat(
         F.lit("Based on reported cash of "), amounts(cash), F.lit(" and "), months.cast("string"), F.lit("-month operating cash outflow of "), amounts(F.abs(flow)),
         F.lit(", the estimated cash runway is approximately "), rounded.cast("string"),

@@ -190,6 +190,7 @@ def verify_runway(risks: DataFrame, evidence: DataFrame | None = None) -> DataFr
         .when((F.size("verification_issues") > 0) & F.forall("verification_issues", waits), "pending")
         .otherwise("needs_review")
     )
+    # fixed values: the texts of the notes
     notes = F.when(
         F.col("verification_status") == "verified",
         "Evidence passed; Calculation was independently recalculated; risk level and deterministic rule score matched policy. The score is not a probability.",
