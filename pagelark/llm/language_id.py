@@ -133,8 +133,18 @@ def fit(training: DataFrame, text_col: str = "text", lang_col: str = "lang", key
     order = F.xxhash64(F.col(key_col), F.col(text_col), F.lit("language fit"))
     keyed = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), order.alias("order"))
     first = Window.partitionBy("lang").orderBy("order")
-    few = keyed.select("lang", "order").withColumn("place", F.row_number().over(first)).where(F.col("place") <= fit_rows)
-    limits = {r[0]: r[1] for r in few.groupBy("lang").agg(F.max("order")).collect()}
+
+    def lowest(some: DataFrame) -> dict[str, int]:
+        """The order of the last row that is still in the sample, for each language."""
+        few = some.select("lang", "order").withColumn("place", F.row_number().over(first)).where(F.col("place") <= fit_rows)
+        return {r[0]: r[1] for r in few.groupBy("lang").agg(F.max("order")).collect()}
+
+    # only the lowest hashes are ranked; a language of so few different rows that none is among them is ranked whole
+    known = {r[0]: r[1] for r in keyed.groupBy("lang").count().collect()}
+    top = {lang: int(min(1.0, (4 * fit_rows + 64) / n) * (2**64 - 1)) - 2**63 if n > 4 * fit_rows + 64 else 2**63 - 1 for lang, n in known.items()}
+    limits = lowest(keyed.where(F.col("order") <= F.create_map(*[x for pair in top.items() for x in map(F.lit, pair)])[F.col("lang")])) if known else {}
+    if left := sorted(set(known) - set(limits)):
+        limits |= lowest(keyed.where(F.col("lang").isin(left)))
     if not limits:
         return None
     found = rows.select(F.col(text_col).alias("text")).mapInPandas(_frequencies, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()
