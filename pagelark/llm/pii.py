@@ -45,7 +45,7 @@ QUAD = rf"^{OCTET}(?:\.{OCTET}){{3}}$"
 
 #: Wider patterns; their matches are only candidates.
 WIDE = {
-    "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++\x20?(?:@|\[at\]|\(at\)|\{at\})\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|\[dot\]|\(dot\)|\{dot\})\x20?[A-Za-z0-9-]++)*+",
+    "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++\x20?(?:@|\[at\]|\(at\)|\{at\})\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|\[dot\]|\(dot\)|\{dot\})\x20?[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
     "number": r"(?<![0-9])[0-9]{14,19}(?![0-9])|(?<![0-9])[0-9]{4}(?:[\x20-][0-9]{4}){3}(?![0-9])|(?<![\w.@-])(?:\+[0-9]{1,3}[\x20.-]?)?(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![\w@]|[.-][0-9])",
 }
@@ -65,7 +65,7 @@ COUNTER_CUES = r"(?i)isbn|order|invoice|serial|version|sku|part\x20no|ref\b|arti
 VOTES = 5
 #: What the classifier sees of a span, 1 where it speaks for personal data and -1 where it doesn't.
 TRAITS = ("cue", "no_counter_cue", "free_left", "free_right", "known_prefix_or_ending", "checksum_or_structure", "usual_length", "varied")
-ACCEPT = 0.8
+ACCEPT = 0.85
 #: Characters before a span that cues are looked for in.
 CONTEXT = 24
 
