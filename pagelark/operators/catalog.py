@@ -175,6 +175,26 @@ def coverage_issues(manifest: DataFrame) -> DataFrame:
     return no_rows.unionByName(failed)
 
 
+def dataset_issues(shape: DataFrame) -> DataFrame:
+    """Issues of the dataset as a whole, from one row of size, rows and malformed of the security master.
+
+    The unit of traded amounts is always an open issue; a master that looks cut off is another, before it.
+    """
+    cut = truncated(F.col("size"), F.col("malformed"))
+    fixed = lambda **kw: F.struct(*[(F.lit(v) if isinstance(v, str) else v).alias(k) for k, v in kw.items()])
+    found = F.format_string("Security master is %d bytes with %d records and %d malformed rows; truncation is suspected", "size", "rows", "malformed")
+    master = fixed(
+        scope="dataset", case_id="", source_file="hksharedescription.csv", issue_code="SECURITY_MASTER_TRUNCATED", severity="critical",
+        status="quarantined", description=found, recommended_action="Do not derive listing date, issue price or company mapping until replaced",
+    )
+    unit = fixed(
+        scope="dataset", case_id="", source_file="hkshareeodprices.csv", issue_code="EOD_AMOUNT_UNIT_UNCONFIRMED", severity="warning",
+        status="open", description=F.lit("The unit of S_DQ_AMOUNT is not confirmed for feature engineering"),
+        recommended_action="Confirm against the official data dictionary before v0.4",
+    )
+    return shape.select(F.explode(F.when(cut, F.array(master, unit)).otherwise(F.array(unit))).alias("issue")).select("issue.*")
+
+
 def bridge_issues(bridged: DataFrame, workbook: str) -> DataFrame:
     """Gaps of a bridge with case_id, official_match_status and has_institution_info."""
     unmatched = ~F.col("official_match_status").eqNullSafe("matched")

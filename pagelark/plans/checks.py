@@ -381,3 +381,49 @@ def runway_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     chain = evidence_chain.runway_chain(statement_pages(table(spark, sf_dir, "customer")))
     risks = chain.risks.select("document_id", "level", F.col("score").cast("double").alias("score"), F.col("calculation.result").alias("runway"), "verification_status")
     return chain.statuses.select("document_id", "agent_status").join(risks, "document_id", "left")
+
+
+@query(
+    """
+WITH shape AS (SELECT 262144 AS size, count(*) AS n, count(*) FILTER (WHERE c_acctbal < 0) AS bad FROM customer)
+SELECT 'SECURITY_MASTER_TRUNCATED' AS issue_code, 'critical' AS severity, 'quarantined' AS status,
+       concat('Security master is ', size, ' bytes with ', n, ' records and ', bad, ' malformed rows; truncation is suspected') AS description FROM shape
+UNION ALL SELECT 'EOD_AMOUNT_UNIT_UNCONFIRMED', 'warning', 'open', 'The unit of S_DQ_AMOUNT is not confirmed for feature engineering'
+"""
+)
+def dataset_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shape = table(spark, sf_dir, "customer").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("c_acctbal") < 0).alias("malformed")).withColumn("size", F.lit(262_144))
+    return catalog.dataset_issues(shape).select("issue_code", "severity", "status", "description")
+
+
+@query(
+    """
+WITH kept AS (SELECT o_custkey, CAST(o_orderkey % 16 AS INTEGER) + 1 AS page, o_orderkey % 3 = 0 AS failed FROM orders),
+counted AS (SELECT o_custkey, max(page) AS n, list(page - 1) FILTER (WHERE NOT failed) AS texts FROM kept GROUP BY o_custkey)
+SELECT CAST(o_custkey AS VARCHAR) AS document_id, n AS page_count,
+       coalesce(list_has_any(texts, [0, n // 4, n // 2, n * 3 // 4, n - 1]), false) AS is_text, 'not_run' AS parser_status
+FROM counted
+"""
+)
+def inspected_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as pages of their customer's document; a third of them could not be read."""
+    failed = F.col("o_orderkey") % 3 == 0
+    decoded = table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").cast("string").alias("document_id"), (F.col("o_orderkey") % 16 + 1).cast("int").alias("page"), F.when(~failed, "text").alias("text"),
+        F.when(failed, "page_parse_failure").alias("error_code"), F.when(failed, "page").alias("error"), F.when(failed, F.lit(True)).alias("recoverable"),
+    )
+    return pages.inspected(decoded).select("document_id", "page_count", "is_text", "parser_status")
+
+
+@query(
+    """
+SELECT o_orderkey AS analysis_id, CASE WHEN o_orderkey % 4 IN (0, 1) THEN 'partial' ELSE 'completed' END AS status,
+       CASE WHEN o_orderkey % 4 IN (0, 1) THEN 'save_failure' END AS save_error
+FROM orders
+"""
+)
+def save_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of the results doesn't come back, another comes back with a different total."""
+    results = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("analysis_id"), F.lit("completed").alias("status"), F.col("o_totalprice").alias("total"))
+    read = results.where("analysis_id % 4 <> 0").withColumn("total", F.when(F.col("analysis_id") % 4 == 1, F.col("total") + 1).otherwise(F.col("total")))
+    return sinks.save_outcomes(results, read)

@@ -107,6 +107,39 @@ def pages(files: DataFrame, decoder: Decoder = form_feed_pages, document_id: Col
     return files.select(name.alias("document_id"), "content").mapInPandas(decode, PAGES)
 
 
+def missing_files(wanted: DataFrame, files: DataFrame) -> DataFrame:
+    """Error rows, shaped as those of pages, for the paths of wanted that no file has: not_a_file where files lie below
+    the path, else file_not_found. Both sides have path; a null path is file_not_found."""
+    asked = wanted.select(F.rtrim(F.col("path"), F.lit("/")).alias("path")).distinct()
+    have = files.select(F.col("path").alias("_file")).distinct()
+    # every folder above a file, so that folders are found by an equality join
+    parts = F.split("_file", "/")
+    above = have.select(F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda n: F.array_join(F.slice(parts, 1, n), "/"))).alias("_folder")).distinct()
+    lacking = asked.join(have, F.col("path") == F.col("_file"), "left_anti").join(above, F.col("path") == F.col("_folder"), "left")
+    code = F.when(F.col("_folder").isNotNull(), "not_a_file").otherwise("file_not_found")
+    values = {"document_id": F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1), "error_code": code, "error": F.col("path"), "recoverable": F.lit(False)}
+    return lacking.select(*[values.get(n, F.lit(None)).cast(t).alias(n) for n, t in (f.split() for f in PAGES.split(", "))])
+
+
+def inspected(decoded: DataFrame, document: str = "document_id") -> DataFrame:
+    """A row for each document of pages(): page_count, is_text, parser_status, error_count, parser_message.
+
+    Whether a document holds text is read from its sampled pages alone. Blank pages have no row, so that the last page
+    known stands for the count; a fatal error gives pdf_metadata_failed.
+    """
+    fatal = F.col("error_code").isNotNull() & ~F.coalesce("recoverable", F.lit(False))
+    counts = decoded.groupBy(document).agg(
+        F.coalesce(F.max("page"), F.lit(0)).alias("page_count"), F.count_if(fatal).alias("error_count"), F.min(F.when(fatal, F.concat_ws(": ", "error_code", "error"))).alias("_message"),
+        F.collect_set(F.when(F.col("text").isNotNull(), F.col("page") - 1)).alias("_texts"),
+    )
+    sampled = F.coalesce(F.arrays_overlap(page_sample(F.col("page_count")), F.transform("_texts", lambda p: p.cast("bigint"))), F.lit(False))
+    failed = F.col("error_count") > 0
+    return counts.select(
+        document, F.when(failed, 0).otherwise(F.col("page_count")).alias("page_count"), (~failed & sampled).alias("is_text"),
+        F.when(failed, "pdf_metadata_failed").otherwise("not_run").alias("parser_status"), "error_count", F.coalesce("_message", F.lit("")).alias("parser_message"),
+    )
+
+
 def page_sample(count: Column) -> Column:
     """Places, from 0, of the pages that stand for a document: first, quarters, last."""
     return F.when(count > 0, F.array_sort(F.array_distinct(F.array(F.lit(0).cast("bigint"), F.floor(count / 4), F.floor(count / 2), F.floor(count * 3 / 4), (count - 1).cast("bigint")))))
@@ -168,6 +201,11 @@ def discover(files: DataFrame) -> DataFrame:
     )
 
 
+def repeated_cases(cases: DataFrame) -> DataFrame:
+    """case_id and n of discovered cases that occur more than once; there should be none."""
+    return cases.groupBy("case_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
 def mock_pages(spark: SparkSession, document: str = "mock") -> DataFrame:
     """Three fixed pages for trials without documents."""
     rows = [(document, f"{document}:page:{n}", n, "unknown", t, "page_text") for n, t in ((12, "revenue and loss for the year"), (48, "redemption rights of investors"), (76, "product pipeline before approval"))]

@@ -38,6 +38,16 @@ def differences(written: DataFrame, read: DataFrame) -> DataFrame:
     return a.exceptAll(b).withColumn("side", F.lit("written_only")).unionByName(b.exceptAll(a).withColumn("side", F.lit("read_only")))
 
 
+def save_outcomes(results: DataFrame, read: DataFrame, key: str = "analysis_id", status: str = "status") -> DataFrame:
+    """key, status and save_error of each result after it was read back: one that came back otherwise, or not at all, is
+    partial with save_failure; the others keep their status. Compared as JSON, one row an id; a null key never comes back."""
+    text = lambda df, name: df.select(key, F.to_json(F.struct(*sorted(df.columns))).alias(name))
+    back = text(read, "_read").groupBy(key).agg(F.min("_read").alias("_read"), F.max("_read").alias("_other"))
+    both = results.select(key, status, F.to_json(F.struct(*sorted(results.columns))).alias("_written")).join(back, key, "left")
+    same = F.col("_written").eqNullSafe(F.col("_read")) & F.col("_written").eqNullSafe(F.col("_other"))
+    return both.select(key, F.when(same, F.col(status)).otherwise("partial").alias(status), F.when(~same, "save_failure").alias("save_error"))
+
+
 def write_catalog(df: DataFrame, path: str, columns: Sequence[str], order: Sequence[str]) -> None:
     """A catalog as UTF-8 CSV files with byte-order mark and header: fixed columns, missing ones and nulls blank, rows
     ranged by the order."""

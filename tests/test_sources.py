@@ -168,3 +168,30 @@ def test_a_sound_sample_has_no_failures(spark):
 def test_every_query_is_callable_and_named():
     found, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert set(sql) <= set(found) and set(queries.queries()) <= set(found)
+
+
+def test_files_that_are_missing_give_error_rows(spark):
+    files = spark.createDataFrame([("file:/a/b/x.pdf",), ("file:/a/y.pdf",)], "path string")
+    wanted = spark.createDataFrame([("file:/a/b/x.pdf",), ("file:/a/b/",), ("file:/a/z.pdf",), ("file:/a/z.pdf",), (None,)], "path string")
+    found = {(r.error, r.error_code, r.recoverable) for r in pages.missing_files(wanted, files).collect()}
+    assert found == {("file:/a/b", "not_a_file", False), ("file:/a/z.pdf", "file_not_found", False), (None, "file_not_found", False)}
+
+
+def test_inspection_folds_errors_into_the_row(spark):
+    rows = [("a", 1, "text", None, None, None), ("a", 2, None, "page_parse_failure", "page 2", True), ("b", None, None, "encrypted_pdf", "locked", False), ("c", 2, "text", None, None, None), ("c", 9, None, "page_parse_failure", "page 9", True)]
+    decoded = spark.createDataFrame(rows, "document_id string, page int, text string, error_code string, error string, recoverable boolean")
+    found = {r.document_id: (r.page_count, r.is_text, r.parser_status, r.error_count, r.parser_message) for r in pages.inspected(decoded).collect()}
+    assert found == {"a": (2, True, "not_run", 0, ""), "b": (0, False, "pdf_metadata_failed", 1, "encrypted_pdf: locked"), "c": (9, False, "not_run", 0, "")}
+
+
+def test_results_that_come_back_otherwise_are_partial(spark):
+    results = spark.createDataFrame([("a", "completed", 1), ("b", "completed", 2), ("c", "failed", 3), (None, "completed", 4)], "analysis_id string, status string, n int")
+    read = spark.createDataFrame([("a", "completed", 1), ("b", "completed", 9), ("c", "failed", 3)], "analysis_id string, status string, n int")
+    found = {r.analysis_id: (r.status, r.save_error) for r in sinks.save_outcomes(results, read).collect()}
+    assert found == {"a": ("completed", None), "b": ("partial", "save_failure"), "c": ("failed", None), None: ("partial", "save_failure")}
+
+
+def test_dataset_issues_name_a_cut_master(spark):
+    shapes = spark.createDataFrame([(262_144, 10, 0), (5, 10, 1), (5, 10, 0)], "size long, rows long, malformed long")
+    codes = [[r.issue_code for r in catalog.dataset_issues(shapes.where(c)).collect()] for c in ("size > 5", "malformed = 1", "size = 5 and malformed = 0")]
+    assert codes == [["SECURITY_MASTER_TRUNCATED", "EOD_AMOUNT_UNIT_UNCONFIRMED"]] * 2 + [["EOD_AMOUNT_UNIT_UNCONFIRMED"]]
