@@ -51,7 +51,7 @@ def aligned(name: str, left: DataFrame, right: DataFrame, key: str, attributes:
     if not attributes:
         return lacking
     differing = attribute_differences(left, right, key, attributes)
-    return lacking.unionByName(differing.select(F.concat(F.lit(f"{name}_differs_"), F.explode("differing")).alias("check"), F.col(key).cast("string").alias("detail")))
+    return lacking.unionByName(differing.select(F.explode(F.transform("differing", lambda a: F.concat(F.lit(f"{name}_differs_"), a))).alias("check"), F.col(key).cast("string").alias("detail")))
 
 
 def together(*failures: DataFrame) -> DataFrame:

@@ -68,6 +68,46 @@ def violations(checks: Sequence[tuple[Column, str | Column]]) -> Column:
     return F.filter(F.array(*marks), lambda x: x.isNotNull())
 
 
+def _required(*names: str) -> list[tuple[Column, str]]:
+    return [(F.col(n).isNotNull(), f"{n} is required") for n in names]
+
+
+def _at_least_one(name: str) -> tuple[Column, str]:
+    return F.col(name).isNull() | (F.col(name) >= 1), f"{name} must be at least 1"
+
+
+def _within(name: str, low: float, high: float) -> tuple[Column, str]:
+    """NaN counts as outside."""
+    return F.col(name).between(low, high), f"{name} must lie in {low} to {high}"
+
+
+def page_messages() -> Column:
+    """Messages of a page of a document: ids, a page from 1 on, some text."""
+    return violations([*_required("document_id", "chunk_id", "page"), _at_least_one("page"), (F.length("text") > 0, "text must not be empty")])
+
+
+def evidence_messages() -> Column:
+    """Messages of an evidence row; its page may be unknown."""
+    return violations([_at_least_one("page"), (F.length("text") > 0, "text must not be empty"), _within("relevance_score", 0, 1)])
+
+
+# The domains of a risk.
+RISK_CATEGORIES = ("financial", "legal", "business", "market")
+RISK_LEVELS = ("low", "medium", "high", "critical")
+
+
+def risk_messages() -> Column:
+    """Messages of a risk row: code, category, level, and score and confidence within their ranges."""
+    level = (F.col("level").isin(*RISK_LEVELS), "invalid level")
+    return violations([*_required("risk_code"), (F.col("category").isin(*RISK_CATEGORIES), "invalid category"), level, _within("score", 0, 100), _within("confidence", 0, 1)])
+
+
+def metric_messages() -> Column:
+    """Messages of an extracted metric: a name, and months and page within range where they are known."""
+    months = F.col("period_months").isNull() | F.col("period_months").between(1, 12)
+    return violations([*_required("metric_name"), (months, "period_months must lie in 1 to 12"), _at_least_one("page")])
+
+
 # Fixed values of the manifest contract.
 MANIFEST_COLUMNS = (
     "case_id", "stock_code", "company_name", "document_id", "risk_code", "applicable", "gold_page", "exact_text",
@@ -98,6 +138,11 @@ def manifest_messages(risk_codes: Sequence[str]) -> Column:
     )
 
 
+def header_messages(rows: DataFrame) -> list[str]:
+    """What is wrong with a manifest's columns, their order included; rows are judged only where it is nothing."""
+    return [] if tuple(rows.columns) == MANIFEST_COLUMNS else ["CSV header does not match v03_annotation_v1"]
+
+
 def validate_manifest(rows: DataFrame, risk_codes: Sequence[str], line: str = "line") -> DataFrame:
     """line and message of each finding; line is the row's number in the file, the header being 1."""
     return rows.select(F.col(line).cast("long").alias("line"), F.explode(manifest_messages(risk_codes)).alias("message"))

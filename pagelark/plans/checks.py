@@ -10,7 +10,7 @@ from ..functions.amounts import amount
 from ..functions.text import joined_scores, joined_texts
 from ..operators import acceptance, agents, catalog, extraction, merge, quality, retrieval, scoring
 from ..sources import pages, sinks, tables
-from . import evidence_chain
+from . import analysis, evidence_chain, pipeline
 from .queries import LINES, line_chunks_of, query, table
 
 SHA = "repeat('a', 64)"
@@ -383,6 +383,102 @@ def runway_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chain.statuses.select("document_id", "agent_status").join(risks, "document_id", "left")
 
 
+@query(
+    """
+WITH found AS (SELECT o_custkey AS k, o_orderkey % 4 AS i, count(*) FILTER (WHERE o_orderkey % 50 <> 0) AS n, bool_or(o_orderkey % 50 = 0) AS lost FROM orders GROUP BY o_custkey, o_orderkey % 4),
+risk AS (
+  SELECT c_custkey, c_nationkey, score, coalesce(n, 0) AS n, coalesce(n, 0) > 0 AND NOT coalesce(lost, false) AS ok
+  FROM customer, (VALUES (0, 78.0::DOUBLE), (1, 72.0::DOUBLE), (2, 66.0::DOUBLE)) v(i, score) LEFT JOIN found ON found.k = c_custkey AND found.i = v.i
+)
+SELECT CAST(c_custkey AS VARCHAR) AS task_id, 'partial' AS status, count(*) FILTER (WHERE ok) AS verified, count(*) FILTER (WHERE NOT ok) AS pending, CAST(sum(n) AS BIGINT) AS evidence_count,
+       round(least(100, coalesce(avg(score) FILTER (WHERE ok), 0) + CASE WHEN c_custkey % 2 = 0 AND c_nationkey * 4 < 50 THEN 15 ELSE 0 END), 6) AS risk_score,
+       c_custkey % 2 <> 0 OR count(*) FILTER (WHERE ok) = 0 AS degraded_mode
+FROM risk GROUP BY c_custkey, c_nationkey
+"""
+)
+def full_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole chain with trial agents, one of which fails: customers ask, orders are the evidence found."""
+    customer, key = table(spark, sf_dir, "customer"), F.col("o_orderkey")
+    task, nothing = F.col("c_custkey").cast("string"), F.lit(None).cast("double")
+    codes = F.array(*[F.lit(c) for c in ("continuous_loss", "redemption_rights", "precommercial_product", "weak_ipo_market")])
+    state = {
+        "requests": customer.select(task.alias("task_id"), F.col("c_name").alias("company_name"), task.alias("stock_code")),
+        "pages": statement_pages(customer),
+        "market": customer.where("c_custkey % 2 = 0").select(
+            task.alias("stock_code"), nothing.alias("hsi_return_5d"), nothing.alias("recent_ipo_break_rate"), nothing.alias("market_volatility"), (F.col("c_nationkey") * 4.0).alias("sentiment_score")
+        ),
+        "evidence": table(spark, sf_dir, "orders").select(
+            F.col("o_custkey").cast("string").alias("task_id"), F.element_at(codes, (key % 4 + 1).cast("int")).alias("risk_code"),
+            F.array(F.struct(F.concat(F.lit("e"), key.cast("string")).alias("evidence_id"))).alias("evidence"), F.when(key % 50 == 0, "search_failed").alias("error"),
+        ),
+    }
+    found = pipeline.run(spark, "all", analysis.steps(market="failing"), state)
+    of = lambda status: F.count_if(F.col("verification_status") == status).alias(status)
+    counts = found.state["verified"].groupBy("task_id").agg(of("verified"), of("pending"), F.sum(F.size("evidence")).alias("evidence_count"))
+    predictions = found.state["predictions"].select("task_id", F.round("risk_score", 6).alias("risk_score"), "degraded_mode")
+    return counts.join(predictions, "task_id").withColumn("status", F.lit(found.status))
+
+
+@query(
+    """
+WITH row AS (SELECT o_orderkey AS k, o_orderkey % 5 = 0 AS page, o_orderkey % 3 = 0 AS blank, o_orderkey % 7 = 0 AS high, o_orderkey % 11 = 0 AS sure, o_orderkey % 13 = 0 AS months FROM orders)
+SELECT k, concat_ws('|', CASE WHEN page THEN 'page must be at least 1' END, CASE WHEN blank THEN 'text must not be empty' END) AS page_issues,
+       concat_ws('|', CASE WHEN high THEN 'score must lie in 0 to 100' END, CASE WHEN sure THEN 'confidence must lie in 0 to 1' END) AS risk_issues,
+       concat_ws('|', CASE WHEN months THEN 'period_months must lie in 1 to 12' END, CASE WHEN page THEN 'page must be at least 1' END) AS metric_issues
+FROM row WHERE page OR blank OR high OR sure OR months
+"""
+)
+def domain_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select(
+        k.alias("k"), F.lit("d").alias("document_id"), F.lit("c").alias("chunk_id"), F.when(k % 5 == 0, 0).otherwise(1).alias("page"), F.when(k % 3 == 0, "").otherwise("x").alias("text"),
+        F.lit("cash_runway").alias("risk_code"), F.lit("financial").alias("category"), F.lit("high").alias("level"), F.when(k % 7 == 0, 100.5).otherwise(100.0).alias("score"),
+        F.when(k % 11 == 0, -0.1).otherwise(0.0).alias("confidence"), F.lit("cash").alias("metric_name"), F.when(k % 13 == 0, 13).when(k % 2 == 0, 12).alias("period_months"),
+    )
+    told = {"page_issues": quality.page_messages(), "risk_issues": quality.risk_messages(), "metric_issues": quality.metric_messages()}
+    found = rows.select("k", *[F.array_join(m, "|").alias(n) for n, m in told.items()])
+    return found.where(" OR ".join(f"{n} <> ''" for n in told))
+
+
+@query(
+    MANIFEST_SQL
+    + """, c AS (SELECT CAST(k AS VARCHAR) AS id, k, y, sha, y = '2025' AND k % 3 <> 0 AS blind FROM m)
+SELECT 'manifest_rows' AS "check", concat('expected 600, got ', count(*)) AS detail FROM c HAVING count(*) <> 600
+UNION ALL SELECT 'year_counts', concat(y, ': expected 100, got ', count(*)) FROM c GROUP BY y HAVING count(*) <> 100
+UNION ALL SELECT 'non_portable_relative_path', id FROM c WHERE k % 11 = 0
+UNION ALL SELECT 'invalid_sha256', id FROM c WHERE length(sha) <> 64
+UNION ALL SELECT 'blind_year_escaped', id FROM c WHERE y = '2025' AND NOT blind
+UNION ALL SELECT 'unexpected_parser_status', id FROM c WHERE k % 17 = 0
+UNION ALL SELECT 'coverage_left_only', id FROM c WHERE k % 19 = 0
+UNION ALL SELECT 'coverage_differs_eod_available', id FROM c WHERE k % 19 <> 0 AND k % 29 = 0
+UNION ALL SELECT 'split_differs_dataset_split', id FROM c WHERE k % 31 = 0
+UNION ALL SELECT 'development_exception', 'expected 1, got 0'
+UNION ALL SELECT 'blind_year_not_marked', id FROM c WHERE y = '2025' AND NOT blind
+UNION ALL SELECT 'bridge_repeated', id FROM c WHERE k % 47 = 0
+UNION ALL SELECT 'bridge_status_counts', concat(CASE WHEN k % 2 = 0 THEN 'matched' ELSE 'unmatched' END, ': expected 1, got ', count(*)) FROM (SELECT k FROM c UNION ALL SELECT k FROM c WHERE k % 47 = 0) GROUP BY k % 2 HAVING count(*) <> 1
+UNION ALL SELECT 'unexpected_source_workbook', id FROM c WHERE k % 37 = 0
+UNION ALL SELECT 'unexpected_source_workbook', id FROM c WHERE k % 37 = 0 AND k % 47 = 0
+UNION ALL SELECT 'invalid_listed_date_relation', id FROM c WHERE k % 43 = 0
+UNION ALL SELECT 'invalid_listed_date_relation', id FROM c WHERE k % 43 = 0 AND k % 47 = 0
+UNION ALL SELECT 'matched_row_lacks_listed_date', id FROM c WHERE k % 46 = 0
+UNION ALL SELECT 'matched_row_lacks_listed_date', id FROM c WHERE k % 46 = 0 AND k % 47 = 0
+"""
+)
+def catalog_acceptance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A manifest with the tables that go with it, each with faults of its own."""
+    k = F.col("stock_code_raw").cast("long")
+    manifest = _manifest(spark, sf_dir).withColumns({"case_id": F.col("stock_code_raw"), "eod_available": (k % 4 == 0).cast("string")})
+    coverage = manifest.where(k % 19 != 0).select("case_id", F.when(k % 29 == 0, "unknown").otherwise(F.col("eod_available")).alias("eod_available"))
+    marked = (F.col("dataset_split") == "blind_test").cast("string")
+    splits = manifest.select("case_id", "stock_code_raw", "source_year", F.when(k % 31 == 0, "other").otherwise(F.col("dataset_split")).alias("dataset_split"), marked.alias("is_blind_test"))
+    bridge = manifest.withColumn("copy", F.explode(F.when(k % 47 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))).select(
+        "case_id", F.when(k % 37 == 0, "other.xlsx").otherwise("w.xlsx").alias("source_workbook"), F.repeat(F.lit("b"), 64).alias("source_workbook_sha256"),
+        F.when(k % 43 == 0, "bogus").otherwise("no_eod_coverage").alias("listed_date_eod_relation"), F.when(k % 2 == 0, "matched").otherwise("unmatched").alias("official_match_status"),
+        F.when(k % 46 != 0, "2024-01-01").alias("official_listed_date"),
+    )
+    return acceptance.catalog_failures(manifest, coverage, splits, bridge, {str(y): 100 for y in range(2020, 2026)}, "w.xlsx", {"matched": 1, "unmatched": 1})
+
+
 @query(
     """
 WITH shape AS (SELECT 262144 AS size, count(*) AS n, count(*) FILTER (WHERE c_acctbal < 0) AS bad FROM customer)

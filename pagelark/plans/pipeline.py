@@ -50,7 +50,8 @@ class Registry:
 class Step:
     name: str
     run: Stage
-    fallback: Mapping[str, DataFrame] = field(default_factory=dict)
+    #: What stands in for the outcome of a stage that fails, given as frames or made from the state before it.
+    fallback: Mapping[str, DataFrame] | Stage = field(default_factory=dict)
     recoverable: bool = True
 
 
@@ -74,7 +75,7 @@ def run(spark: SparkSession, task_id: str, steps: Sequence[Step], state: Mapping
             message = traceback.format_exception_only(type(e), e)[-1].strip().split("\n")[0][:500]
             errors.append((task_id, step.name, f"{step.name}_failure", message, step.recoverable))
             logs.append((task_id, number, step.name, "failed"))
-            now |= step.fallback
+            now |= step.fallback(now) if callable(step.fallback) else step.fallback
             status = "partial"
             if not step.recoverable:
                 status = "failed"

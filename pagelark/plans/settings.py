@@ -26,6 +26,21 @@ def _typed(value: object, like: object) -> object:
     return type(like)(value)
 
 
+def file_values(text: str) -> dict[str, object]:
+    """Values of a settings file: lines of `name: value`, with comments, quotes, true and false; blocks aren't read."""
+    out: dict[str, object] = {}
+    for line in text.splitlines():
+        name, sign, value = line.partition(":")
+        if not sign or name != name.strip() or name.startswith(("#", "-")):
+            continue
+        value = value.strip()
+        if value[:1] in ("'", '"') and value.count(value[0]) > 1:
+            out[name] = value[1 : value.index(value[0], 1)]
+        elif plain := value.split(" #")[0].strip():
+            out[name] = {"true": True, "false": False}.get(plain.lower(), plain)
+    return out
+
+
 def load(file_values: Mapping[str, object] | None = None, environ: Mapping[str, str] | None = None, prefix: str = "PAGELARK_") -> Settings:
     """Settings from the values of a file and from variables such as PAGELARK_USE_MOCK; unknown names are ignored."""
     environ = os.environ if environ is None else environ
