@@ -8,7 +8,8 @@ that. Nothing is approximate, and ties go to the smaller id.
 
 Each radius is one round of joins on (segment, value), for the queries that are still open: probes are the queries'
 segments with r bits flipped, what they meet is verified by the whole codes, and the best so far go on to the next round
-through the shared folder. A code that several segments would find counts under the first of its nearest segments, so it
+through the shared folder. Once a query has k of them, the join passes on only codes no farther than its kth distance:
+others can't be among its answers. A code that several segments would find counts under the first of its nearest segments, so it
 is verified once. The joins are on keys that adaptive execution can split where a value is hot; all of it is built-in
 functions.
 
@@ -81,14 +82,15 @@ def _nearest(found: DataFrame, most: int, k: int) -> DataFrame:
 
 
 def _probed(entries: DataFrame, asked: DataFrame, bounds: list[tuple[int, int]], radii: list[int]) -> DataFrame:
-    """(asked, id, hamming) of the codes that some segment finds at one of the radii and none at a smaller one."""
+    """(asked, id, hamming) of the codes that some segment finds at one of the radii and none at a smaller one, and that are
+    within the query's bound where it has one."""
     spark = entries.sparkSession
     masks = [(j, r, sum(1 << i for i in c)) for j, (_, w) in enumerate(bounds) for r in radii if r <= w for c in combinations(range(w), r)]
     masks = spark.createDataFrame(pd.DataFrame(masks, columns=["segment", "radius", "mask"]), "segment int, radius int, mask long")
     probes = (
-        asked.select(F.col("code").alias("asked"), F.col("segments").alias("own"), F.posexplode("segments").alias("segment", "value"))
+        asked.select(F.col("code").alias("asked"), F.col("segments").alias("own"), "bound", F.posexplode("segments").alias("segment", "value"))
         .join(F.broadcast(masks), "segment")
-        .select("asked", "own", "segment", "radius", F.col("value").bitwiseXOR(F.col("mask")).alias("value"))
+        .select("asked", "own", "bound", "segment", "radius", F.col("value").bitwiseXOR(F.col("mask")).alias("value"))
     )
     index = entries.select("code", "segments", "ids", F.posexplode("segments").alias("segment", "value"))
     spread = F.zip_with("own", "segments", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
@@ -97,7 +99,7 @@ def _probed(entries: DataFrame, asked: DataFrame, bounds: list[tuple[int, int]],
     return (
         probes.join(index, ["segment", "value"])
         .withColumn("_spread", spread)
-        .where(F.col("segment") == finder)
+        .where((F.col("segment") == finder) & (F.col("bound").isNull() | (_apart("asked", "code") <= F.col("bound"))))
         .select("asked", F.explode("ids").alias("id"), _apart("asked", "code").cast("long").alias("hamming"))
     )
 
@@ -150,7 +152,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, dims: int | None =
     values = [sum((F.shiftleft(bit(d), a + w - 1 - d) for d in range(a, a + w)), F.lit(0).cast("long")) for a, w in bounds]
     segmented = F.array(*values)
     entries = scratch.keep(entries.withColumn("segments", segmented), "entries")
-    open_ = scratch.keep(coded.where("asks").select("code").distinct().withColumn("segments", segmented), "asked")
+    open_ = scratch.keep(coded.where("asks").select("code").distinct().withColumns({"segments": segmented, "bound": F.lit(None).cast("long")}), "asked")
     asking = open_.count()
     best, radii = None, [0, 1]
     while asking and k > 0:
@@ -164,8 +166,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, dims: int | None =
         if scan:
             break
         covered = len(bounds) * (radii[-1] + 1) - 1
-        sure = best.where(F.col("hamming") <= covered).groupBy("asked").count().where(F.col("count") >= need).select(F.col("asked").alias("code"))
-        open_ = scratch.keep(open_.join(sure, "code", "left_anti"), "asked")
+        kth = F.when(F.count(F.lit(1)) >= need, F.max("hamming")).alias("bound")
+        reached = best.groupBy(F.col("asked").alias("code")).agg(kth)
+        open_ = scratch.keep(open_.drop("bound").join(reached, "code", "left").where(F.col("bound").isNull() | (F.col("bound") > covered)), "asked")
         asking, radii = open_.count(), [radii[-1] + 1]
     if best is None:
         best = coded.where(F.lit(False)).select(F.col("code").alias("asked"), "id", F.lit(0).cast("long").alias("hamming"))
