@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, mixing, ngram_join, packing, pii, quality_mil, secret_scan, sharding, topk_hamming
+from . import exact_dedup, language_id, mixing, ngram_join, packing, pii, prefix_trie, quality_mil, secret_scan, sharding, topk_hamming
 from .common import crc_bucket, table
 
 
@@ -85,6 +85,10 @@ def op10_topk_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_hamming.top_k(vectors, F.col("vec_id") % 100 == 0, k=10)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.regrafted_trie(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")).drop("first", "last")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
@@ -97,6 +101,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secret_scan": op8_secret_scan,
         "op9_packing": op9_packing,
         "op10_topk_hamming": op10_topk_hamming,
+        "op11_prefix_trie": op11_prefix_trie,
     }
 
 
@@ -130,5 +135,51 @@ SELECT query_id, rank, neighbor_id, hamming FROM ranked WHERE rank <= 10
 """
 
 
+#: crc32 of an expression's text in SQL, bit by bit: each byte is xored in (its number) and followed by eight shifts (-1).
+CRC32 = """xor(list_reduce(list_concat([4294967295], flatten(list_transform(string_split({0}, ''), lambda x: [ascii(x), -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END), 4294967295)"""
+
+OP11_SQL = f"""
+WITH filled AS (
+  SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS code
+  FROM conversations WHERE conv_id IS NOT NULL
+), turns AS (
+  SELECT c, code, strlen(text) AS bytes, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, left(text, 64), code) AS p FROM filled
+), lengths AS (
+  SELECT c, count(*) AS n FROM turns GROUP BY c
+), heads AS (
+  SELECT c, n, c - c % 5 AS base, CAST({CRC32.format("CAST(c AS VARCHAR)")} AS BIGINT) % 9 AS h FROM lengths
+), convs AS (
+  SELECT a.c, a.n, a.base, a.h, least(a.h, coalesce(b.n, 0)) AS taken FROM heads a LEFT JOIN lengths b ON b.c = a.base
+), rebuilt AS (
+  SELECT v.c, v.taken + t.p - v.h AS d, code, bytes FROM convs v JOIN turns t ON t.c = v.c AND t.p > v.h
+  UNION ALL
+  SELECT v.c, t.p AS d, code, bytes FROM convs v JOIN turns t ON t.c = v.base AND t.p <= v.h
+), paths AS (
+  SELECT c, d, bytes, string_agg(code, '/') OVER (PARTITION BY c ORDER BY d) AS prefix,
+         d = max(d) OVER (PARTITION BY c) AS ends
+  FROM rebuilt
+  UNION ALL
+  SELECT c, 0 AS d, 0 AS bytes, '' AS prefix, NOT EXISTS (SELECT 1 FROM rebuilt r WHERE r.c = v.c) AS ends FROM convs v
+), nodes AS (
+  SELECT d, prefix, min(c) AS conv_id, count(*) AS n_convs, max(bytes) AS bytes,
+         CASE WHEN d = 0 THEN NULL WHEN d = 1 THEN '' ELSE left(prefix, 33 * (d - 1) - 1) END AS up,
+         sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE ends), '')) AS ends_sha256
+  FROM paths GROUP BY d, prefix
+), children AS (
+  SELECT up AS prefix, count(*) AS n_children FROM nodes WHERE up IS NOT NULL GROUP BY up
+), counted AS (
+  SELECT n.*, coalesce(k.n_children, 0) AS n_children FROM nodes n LEFT JOIN children k USING (prefix)
+), subtrees AS (
+  SELECT p.prefix, sum(CASE WHEN b.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((b.n_convs - 1) * b.bytes) AS saved_tokens
+  FROM counted b JOIN paths p ON p.c = b.conv_id AND p.d <= b.d GROUP BY p.prefix
+)
+SELECT n.conv_id, CAST(n.d AS BIGINT) AS depth, u.conv_id AS parent_conv_id, n.n_convs, n.n_children,
+       CAST(s.n_leaves AS BIGINT) AS n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM counted n JOIN subtrees s USING (prefix) LEFT JOIN nodes u ON u.prefix = n.up
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op10_topk_hamming": OP10_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op10_topk_hamming": OP10_SQL, "op11_prefix_trie": OP11_SQL}
