@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, mixing, ngram_join, packing, pii, prefix_trie, quality_mil, secret_scan, sharding, topk_hamming
+from . import exact_dedup, language_id, mixing, ngram_join, packing, pii, prefix_trie, quality_mil, secret_scan, sharding, spelling, topk_hamming
 from .common import crc_bucket, table
 
 
@@ -89,6 +89,11 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.regrafted_trie(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")).drop("first", "last")
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spelling.variants(spelling.words_of(docs, damage=31), ratio=10)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
@@ -102,6 +107,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_packing": op9_packing,
         "op10_topk_hamming": op10_topk_hamming,
         "op11_prefix_trie": op11_prefix_trie,
+        "op12_spelling": op12_spelling,
     }
 
 
@@ -181,5 +187,47 @@ FROM counted n JOIN subtrees s USING (prefix) LEFT JOIN nodes u ON u.prefix = n.
 """
 
 
+OP12_SQL = """
+WITH RECURSIVE runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]{7,}')) AS run FROM documents
+), low AS (
+  SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS c FROM runs GROUP BY ALL
+), bytes AS (
+  SELECT run, c, flatten(list_transform(string_split(concat(doc_id, ':', run), ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)] ELSE [195, unicode(x) - 64] END)) AS b
+  FROM low
+), hashed AS (
+  SELECT run, c, CAST(xor(list_reduce(list_concat([4294967295], flatten(list_transform(b, lambda x: [x, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END), 4294967295) AS BIGINT) AS h
+  FROM bytes
+), damaged AS (
+  SELECT CASE WHEN h % 31 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, c FROM hashed
+), words AS (
+  SELECT word, CAST(sum(c) AS BIGINT) AS n FROM damaged WHERE length(word) >= 7 GROUP BY word HAVING sum(c) >= 2
+), places AS (
+  SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words
+), gone AS (
+  SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM places
+), pairs AS (
+  SELECT a.word AS a, b.word AS b, b.n FROM gone a JOIN gone b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION
+  SELECT g.word, w.word, w.n FROM gone g JOIN words w ON w.word = g.rest
+  UNION
+  SELECT w.word, g.word, g.n FROM gone g JOIN words w ON w.word = g.rest
+), ranked AS (
+  SELECT a, b, n, count(*) OVER (PARTITION BY a) AS n_near, row_number() OVER (PARTITION BY a ORDER BY n DESC, encode(b)) AS r FROM pairs
+), formed AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN r.n >= 10 * w.n THEN b END AS form, CASE WHEN r.n >= 10 * w.n THEN r.n END AS form_n
+  FROM words w LEFT JOIN ranked r ON r.a = w.word AND r.r = 1
+), chain AS (
+  SELECT word, word AS at FROM formed
+  UNION ALL
+  SELECT c.word, f.form FROM chain c JOIN formed f ON f.word = c.at WHERE f.form IS NOT NULL
+), roots AS (
+  SELECT c.word, c.at AS root FROM chain c JOIN formed f ON f.word = c.at WHERE f.form IS NULL
+)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN roots USING (word)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op10_topk_hamming": OP10_SQL, "op11_prefix_trie": OP11_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op10_topk_hamming": OP10_SQL, "op11_prefix_trie": OP11_SQL, "op12_spelling": OP12_SQL}
