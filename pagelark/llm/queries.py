@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, mixing, ngram_join, packing, pii, prefix_trie, quality_mil, secret_scan, sharding, spelling, topk_hamming
+from . import exact_dedup, language_id, minhash_forest, mixing, ngram_join, packing, pii, prefix_trie, quality_mil, secret_scan, sharding, spelling, topk_hamming
 from .common import crc_bucket, table
 
 
@@ -94,6 +94,10 @@ def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(spelling.words_of(docs, damage=31), ratio=10)
 
 
+def op13_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_forest.components(table(spark, sf_dir, "documents").select("doc_id", "text"), ngram=4, percent=80)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
@@ -108,6 +112,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_topk_hamming": op10_topk_hamming,
         "op11_prefix_trie": op11_prefix_trie,
         "op12_spelling": op12_spelling,
+        "op13_minhash_forest": op13_minhash_forest,
     }
 
 
