@@ -11,16 +11,19 @@ Plan
 2. The classes are sorted in each tree: one range-partitioned sort over (tree, prefix). One pass over each partition finds
    the candidates: a row's two neighbours, and all rows of its region. The region has adaptive depth: it is the
    shortest common prefix that at most WINDOW rows share, so it is shallow where texts are singular and deep where a
-   passage is widespread. Rows whose whole prefixes agree stand in the region as one and are chained. A candidate pair must
-   also agree in half of the minima that the tree compares, which linked pairs miss with a chance of 0.4 % a tree.
+   passage is widespread. A candidate pair must also
+   agree in half of the minima that the tree compares, which linked pairs miss with a chance of 0.4 % a tree.
 3. Neighbours across partitions: the first and last rows of each partition, a table of 2 x WINDOW rows a partition, go
    through the same pass again, with ever fewer partitions until there is one.
 4. Candidates are verified on the full sets in two rounds: one partner for each class first; then, of all other
    candidates, those that the links found so far leave in different components. So a group of thousands of near copies
    costs about one verification for each, yet every candidate that can change the result is verified.
 
-For a pair at the threshold of 80 % that stands in shallow regions, all trees miss it with a chance of (1 - 0.8)^24; if
-only a common prefix of 4 is enough, of (1 - 0.8^4)^24 = 3e-6; of 8, 1 %, which higher similarity makes 1e-6 (at 90 %).
+5. A region that is still larger than WINDOW at depth SHALLOW holds pairs that the trees may not find: large groups of near
+   copies, widespread passages. Classes that stand in such regions in two trees or more are joined among one another by
+   `ngram_join`, which misses nothing. So a linked pair is missed only if it has fewer than two common prefixes of SHALLOW
+   minima: in each tree where it has one, the region is small and the pair a candidate, or it is large for both ends. At a
+   similarity of 0.8 that has a chance of 6e-5, at 0.85 of 5e-7.
 
 Hot groups: copies are aggregated map-side; equal prefixes are spread by class number in the sort; the joins on a class
 have one row for each key on one side. What is broadcast is a filter of fixed size that tells which texts to read again.
@@ -44,6 +47,7 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import Workspace
 from .components import connected
+from .ngram_join import components as joined_exactly
 from .ngram_join import finalised, ngram_sets
 
 TREES = 24
@@ -55,6 +59,9 @@ WINDOW = 12
 #: Minima of a tree's prefix in which a candidate pair agrees at least.
 AGREED = 6
 
+#: Depth of regions that are deep.
+SHALLOW = 4
+
 FILTER_WORDS = 1 << 16
 #: Rows of a pass within a partition.
 PASS = 1 << 16
@@ -89,89 +96,89 @@ def _described(n: int, kind: pa.DataType):
     return describe
 
 
-def _tokens(n: int, kind: pa.DataType):
-    schema = pa.schema([("id", kind), ("n", pa.int64()), ("one", pa.int64()), ("two", pa.int64()), ("tokens", pa.binary())])
+def _digested(n: int, kind: pa.DataType, tokens: bool):
+    """Adds the set's digest; the text is replaced by the set's tokens if they are asked for."""
+    schema = pa.schema([("id", kind), ("n", pa.int64()), ("one", pa.int64()), ("two", pa.int64()), ("held", pa.binary() if tokens else pa.string())])
 
-    def list_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def add_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [(*digest(t), t.tobytes()) for t in ngram_sets(batch.column(1).to_pylist(), n)]
-            columns = [list(x) for x in zip(*sets)] if sets else [[]] * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(kind), *[pa.array(x, f.type) for x, f in zip(columns, list(schema)[1:])]], schema=schema)
+            sets = [(*digest(t), t.tobytes() if tokens else None) for t in ngram_sets(batch.column(1).to_pylist(), n)]
+            columns = [pa.array(list(x), f.type) for x, f in zip(zip(*sets) if sets else [[]] * 4, list(schema)[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(kind), *columns[:3], columns[3] if tokens else batch.column(1).cast(pa.string())], schema=schema)
 
-    return list_tokens
+    return add_digests
 
 
-def candidates(tree: np.ndarray, keys: np.ndarray, node: np.ndarray, window: int = WINDOW, agreed: int = AGREED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(a, b, agreeing minima) of the candidate pairs of sorted rows; keys has a row of minima for each."""
+def candidates(tree: np.ndarray, keys: np.ndarray, node: np.ndarray, window: int = WINDOW, agreed: int = AGREED) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, agreeing minima) of the candidate pairs of sorted rows, and the rows whose region is deeper than SHALLOW;
+    keys has a row of minima for each."""
     depth = keys.shape[1]
     common = np.cumprod((keys[1:] == keys[:-1]) & (tree[1:] == tree[:-1])[:, None], axis=1).sum(axis=1)
-    same = np.flatnonzero(common == depth)
-    left, right = [same], [same + 1]
-    # rows of equal prefixes stand for one another
-    first = np.flatnonzero(np.concatenate(([True], common != depth))) if len(keys) else np.zeros(0, np.int64)
-    common = common[first[1:] - 1]
-    if len(first) > 1:
-        size = np.zeros((depth, len(first)), np.int64)
-        for d in range(1, depth):
-            region = np.concatenate(([0], np.cumsum(common < d)))
-            size[d] = np.bincount(region)[region]
-        shared = common
-        for apart in range(1, min(window, len(first))):
-            if apart > 1:
-                shared = np.minimum(shared[:-1], common[apart - 1 :])
-            at = np.flatnonzero(shared > 0)
-            if not len(at):
-                break
-            if apart > 1:
-                at = at[size[shared[at], at] <= window]
-            left.append(first[at])
-            right.append(first[at + apart])
-    i, j = np.concatenate(left), np.concatenate(right)
+    size = np.ones((depth + 1, len(keys)), np.int64)
+    for d in range(1, depth + 1):
+        region = np.concatenate(([0], np.cumsum(common < d)))[: len(keys)]
+        size[d] = np.bincount(region)[region]
+    left, right, shared = [], [], common
+    for apart in range(1, min(window, len(keys))):
+        if apart > 1:
+            shared = np.minimum(shared[:-1], common[apart - 1 :])
+        at = np.flatnonzero(shared > 0)
+        if not len(at):
+            break
+        if apart > 1:
+            at = at[size[shared[at], at] <= window]
+        left.append(at)
+        right.append(at + apart)
+    i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
     alike = (keys[i] == keys[j]).sum(axis=1)
     fit = (alike >= agreed) & (node[i] != node[j])
     a, b = node[i[fit]], node[j[fit]]
-    return np.minimum(a, b), np.maximum(a, b), alike[fit]
+    return np.minimum(a, b), np.maximum(a, b), alike[fit], np.flatnonzero(size[SHALLOW] > window)
 
 
 def _neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Candidate pairs of sorted rows, and the partition's first and last rows."""
+    """Candidate pairs of sorted rows (alike from 0), rows in deep regions (-2), and the partition's first and last rows (-1)."""
     columns = ["a", "b", "alike", "tree", "prefix", "node"]
     held: pd.DataFrame | None = None
     opening: list[pd.DataFrame] = []
 
-    def pairs(rows: pd.DataFrame) -> pd.DataFrame:
-        keys = np.frombuffer(b"".join(rows["prefix"]), ">u4").reshape(len(rows), DEPTH)
-        a, b, alike = candidates(rows["tree"].to_numpy(), keys, rows["node"].to_numpy())
-        found = pd.DataFrame({"a": a, "b": b, "alike": alike})
-        return found.groupby(["a", "b"], as_index=False)["alike"].max().assign(tree=-1, prefix=b"", node=0)[columns]
+    def passed(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        keys, tree, node = np.frombuffer(b"".join(rows["prefix"]), ">u4").reshape(len(rows), DEPTH), rows["tree"].to_numpy(), rows["node"].to_numpy()
+        a, b, alike, deep = candidates(tree, keys, node)
+        found = pd.DataFrame({"a": a, "b": b, "alike": alike}).groupby(["a", "b"], as_index=False)["alike"].max()
+        yield found.assign(tree=-1, prefix=b"", node=0)[columns]
+        yield pd.DataFrame({"a": 0, "b": 0, "alike": -2, "tree": tree[deep], "prefix": b"", "node": node[deep]})[columns]
 
     for batch in batches:
         if sum(map(len, opening)) < WINDOW:
             opening.append(batch[: WINDOW - sum(map(len, opening))])
         held = batch if held is None else pd.concat([held, batch], ignore_index=True)
         if len(held) >= PASS:
-            yield pairs(held)
+            yield from passed(held)
             held = held[-WINDOW:]
     if held is not None and len(held):
-        yield pairs(held)
+        yield from passed(held)
         edge = pd.concat([*opening, held[-WINDOW:]], ignore_index=True)
         yield edge.assign(a=0, b=0, alike=-1)[columns]
 
 
-def candidate_pairs(rows: DataFrame, scratch: Workspace) -> DataFrame:
-    """Distinct (a, b, alike) of rows (tree, prefix, node) over all trees."""
-    parts, found, order = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), None, ["tree", "prefix", "node"]
+def candidate_pairs(rows: DataFrame, scratch: Workspace) -> tuple[DataFrame, DataFrame]:
+    """Distinct (a, b, alike) of rows (tree, prefix, node) over all trees, and the nodes in deep regions of several trees."""
+    parts, order = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), ["tree", "prefix", "node"]
+    found = None
     while True:
         spread = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
         here = scratch.keep(spread.mapInPandas(_neighbours, "a long, b long, alike int, tree int, prefix binary, node long"), "neighbours")
-        pairs = here.where("alike >= 0").select("a", "b", "alike")
-        found = pairs if found is None else found.unionByName(pairs)
+        found = here if found is None else found.unionByName(here)
         if parts == 1:
             break
         # a row may be among the first and the last ones of its partition
-        rows = here.where("alike < 0").select(*order).distinct()
-        parts = min(parts - 1, -(-here.where("alike < 0").count() // PASS)) or 1
-    return found.groupBy("a", "b").agg(F.max("alike").alias("alike"))
+        rows = here.where("alike = -1").select(*order).distinct()
+        parts = min(parts - 1, -(-here.where("alike = -1").count() // PASS)) or 1
+    pairs = found.where("alike >= 0").groupBy("a", "b").agg(F.max("alike").alias("alike"))
+    # bits of trees, as a row may be met again at the edge of a pass
+    trees = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("tree"))).alias("trees")
+    return pairs, found.where("alike = -2").groupBy("node").agg(trees).where(F.bit_count("trees") >= 2).select("node")
 
 
 def _linked(percent: int):
@@ -192,8 +199,8 @@ def _linked(percent: int):
 
 
 def verified(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets (node, tokens) link."""
-    left, right = tokens.select(F.col("node").alias("a"), F.col("tokens").alias("left")), tokens.select(F.col("node").alias("b"), F.col("tokens").alias("right"))
+    """The pairs (a, b) whose full sets (node, held) link."""
+    left, right = tokens.select(F.col("node").alias("a"), F.col("held").alias("left")), tokens.select(F.col("node").alias("b"), F.col("held").alias("right"))
     return pairs.select("a", "b").join(right, "b").join(left, "a").mapInPandas(_linked(percent), "a long, b long")
 
 
@@ -214,20 +221,28 @@ def components(docs: DataFrame, ngram: int = 5, percent: int = 80, id_col: str =
     of_tree = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.substring(wrapped, t * (size // TREES) + 1, F.lit(4 * DEPTH)))
     rows = signed.select("node", F.posexplode(of_tree).alias("tree", "prefix")).select("tree", "prefix", "node")
     rows = scratch.keep(rows, "trees")
-    pairs = scratch.keep(candidate_pairs(rows, scratch), "candidates")
+    pairs, dense = candidate_pairs(rows, scratch)
+    dense = scratch.keep(dense, "dense")
+    of_dense = lambda x: dense.select(F.col("node").alias(x), F.lit(True).alias(f"{x}_dense"))
+    pairs = pairs.join(of_dense("a"), "a", "left").join(of_dense("b"), "b", "left").where("a_dense IS NULL OR b_dense IS NULL")
+    pairs = scratch.keep(pairs.select("a", "b", "alike"), "candidates")
     scratch.drop(rows)
 
-    # full sets of the classes in candidate pairs; a filter of fixed size tells which texts may be theirs
-    within = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", "least", *by_set), "node")
-    within = scratch.keep(within, "within")
-    place = lambda x: F.pmod(F.xxhash64(x), F.lit(FILTER_WORDS * 64))
-    word, bit = lambda x: F.floor(place(x) / 64).cast("int"), lambda x: F.pmod(place(x), F.lit(64)).cast("int")
-    words = within.groupBy(word("least").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit("least"))).alias("bits"))
-    likely = texts.withColumn("word", word("id")).join(F.broadcast(words), "word").where(F.call_function("getbit", F.col("bits"), bit("id")) == 1).select("id", "text")
-    tokens = likely.mapInArrow(_tokens(ngram, kind), f"id {type_name}, n long, one long, two long, tokens binary")
-    tokens = tokens.join(within.withColumnRenamed("least", "id"), ["id", *by_set]).select("node", "tokens").dropDuplicates(["node"])
-    tokens = scratch.keep(tokens, "tokens")
-    scratch.drop(within)
+    def held_by(nodes: DataFrame, tokens: bool) -> DataFrame:
+        """(node, held): full sets or texts of classes, read again through a filter of fixed size."""
+        within = scratch.keep(nodes.join(classes.select("node", "least", *by_set), "node"), "within")
+        place = lambda x: F.pmod(F.xxhash64(x), F.lit(FILTER_WORDS * 64))
+        word, bit = lambda x: F.floor(place(x) / 64).cast("int"), lambda x: F.pmod(place(x), F.lit(64)).cast("int")
+        words = within.groupBy(word("least").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit("least"))).alias("bits"))
+        likely = texts.withColumn("word", word("id")).join(F.broadcast(words), "word").where(F.call_function("getbit", F.col("bits"), bit("id")) == 1).select("id", "text")
+        digested = likely.mapInArrow(_digested(ngram, kind, tokens), f"id {type_name}, n long, one long, two long, held {'binary' if tokens else 'string'}")
+        found = digested.join(within.withColumnRenamed("least", "id"), ["id", *by_set]).select("node", "held").dropDuplicates(["node"])
+        found = scratch.keep(found, "tokens" if tokens else "texts")
+        scratch.drop(within)
+        return found
+
+    tokens = held_by(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), tokens=True)
+    crowded = None if dense.isEmpty() else joined_exactly(held_by(dense, tokens=False), ngram, percent, "node", "held")
 
     nearest = pairs.groupBy("b").agg(F.max_by("a", F.struct("alike", "a")).alias("a"))
     links = scratch.keep(verified(nearest, tokens, percent), "links")
@@ -241,7 +256,10 @@ def components(docs: DataFrame, ngram: int = 5, percent: int = 80, id_col: str =
     several = filled.groupBy("id").agg((differ[0] | differ[1] | differ[2]).alias("several")).where("several").select("id")
     named = filled.join(several, "id").join(classes.select(*by_set, "node"), by_set).select("id", "node")
     joined = named.join(named.groupBy("id").agg(F.min("node").alias("a")), "id").select("a", F.col("node").alias("b")).where("a <> b")
-    labels = connected(links.unionByName(more).unionByName(joined), scratch)
+    links_all = links.unionByName(more).unionByName(joined)
+    if crowded is not None:
+        links_all = links_all.unionByName(crowded.select(F.col("component_id").alias("a"), F.col("node").alias("b")).where("a <> b"))
+    labels = connected(links_all, scratch)
     scratch.drop(links, pairs, tokens)
 
     of_class = classes.join(labels, "node", "left").select(*by_set, "least", F.coalesce("component", "node").alias("component"))

@@ -74,7 +74,8 @@ def _counted(shortest: int, damage: int | None):
                 if len(held) > HELD:
                     yield pd.DataFrame({"word": list(held), "n": list(held.values())})
                     held.clear()
-        yield pd.DataFrame({"word": list(held), "n": list(held.values())})
+        if held:
+            yield pd.DataFrame({"word": list(held), "n": list(held.values())})
 
     return count
 
@@ -136,7 +137,7 @@ def _matched(group: pd.DataFrame) -> pd.DataFrame:
     same = np.concatenate(([False], key[1:] == key[:-1], [False]))
     group = group[same[1:] | same[:-1]]  # keys that occur again
     if not len(group):
-        return pd.DataFrame({"word": [], "near": [], "best": [], "best_n": []})
+        return pd.DataFrame({c: pd.Series(dtype=object) for c in ("word", "near", "best", "best_n")})
     words, place, n = group["word"].to_numpy(object), group["place"].to_numpy(), group["n"].to_numpy()
     spelled = [w if i < 0 else w[:i] + w[i + 1 :] for w, i in zip(words, place.tolist())]
     string = pd.factorize(np.array(spelled, object))[0]
@@ -163,7 +164,7 @@ def _matched(group: pd.DataFrame) -> pd.DataFrame:
         out.append((shorter[order][edge], np.diff(np.concatenate((edge, [len(order)]))), longer[order][edge]))
     rows, near, best = (np.concatenate(x) for x in zip(*out))
     found = pd.DataFrame({"word": words[rows], "near": near, "best": words[best], "best_n": n[best]})
-    return found[found["near"] > 0]
+    return found.astype(object)
 
 
 def variants(words: DataFrame, ratio: int = 10, group: int = GROUP) -> DataFrame:
