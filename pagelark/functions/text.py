@@ -10,8 +10,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Characters that count as a space beside white space; fixed values.
-SEPARATORS = "·•….-_—–/╱()（）"
+from .forms import SEPARATORS, normal_forms
 
 _PIECE = re.compile(r"[^ ]+")
 
@@ -35,19 +34,8 @@ def normal_form(text: str) -> tuple[str, list[int]]:
     return "".join(parts), places
 
 
-class _Forms(dict):
-    """Matching form of each character, found once."""
-
-    def __missing__(self, code: int) -> str:
-        self[code] = "".join(" " if c.isspace() or c in SEPARATORS else c for c in normalize("NFKC", chr(code)).lower())
-        return self[code]
-
-
-_FORMS = _Forms()
-
-
 def normalised(text: str) -> str:
-    return " ".join(p for p in text.translate(_FORMS).split(" ") if p)
+    return next(normal_forms([text]))[0]
 
 
 def compacted(text: str) -> str:
@@ -57,12 +45,15 @@ def compacted(text: str) -> str:
 
 def _normalise_batches(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for texts in batches:
-        yield texts.map(lambda t: None if t is None else normalised(t))
+        there = texts.notna()
+        out = pd.Series([None] * len(texts), dtype=object)
+        out[there.to_numpy()] = [form for form, _ in normal_forms(texts[there].tolist())]
+        yield out
 
 
 def normalise(text: Column) -> Column:
-    """Matching form of a column. Spark has no NFKC, hence an Arrow function for texts that aren't ASCII; the others take
-    built-in functions. Compute it once for a corpus and keep it."""
+    """Matching form of a column. Spark has no NFKC, hence an Arrow function for texts that aren't ASCII, which works on
+    whole batches; the others take built-in functions. Compute it once for a corpus and keep it."""
     ascii_only = F.length(text) == F.octet_length(text)
     plain = F.trim(F.regexp_replace(F.lower(text), r"[\s\x0b\x1c-\x1f._/()-]+", " "))
     return F.when(ascii_only, plain).otherwise(F.pandas_udf(_normalise_batches, "string")(F.when(~ascii_only, text)))

@@ -8,6 +8,9 @@ page's neighbours are a window frame.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,24 +43,36 @@ SIGNS = {
 }
 
 
-def _signed(text: Column, name: str) -> Column:
-    """Whether a text may hold the name; İ and the Kelvin sign match i and k, but have upper cases of their own."""
-    upper = F.upper(F.translate(text, "\u0130\u212a", "IK"))
-    out = F.lit(False)
-    for sign in SIGNS[name]:
-        out = out | F.contains(upper, F.lit(sign))
-    return out
+#: Characters that match i and k whatever the case, but whose upper cases are others.
+ODD_CASES = ("\u0130", "\u212a")
+
+
+def _bound(text: Column) -> Column:
+    """A text's upper case, and whether it holds one of the odd cases."""
+    return F.struct(F.upper(text).alias("upper"), reduce(or_, (F.contains(text, F.lit(c)) for c in ODD_CASES)).alias("odd"))
+
+
+def _signed(text: Column, name: str, bound: Column | None = None) -> Column:
+    """Whether a text may hold the name."""
+    bound = _bound(text) if bound is None else bound
+    return reduce(or_, (F.contains(bound["upper"], F.lit(s)) for s in SIGNS[name]), bound["odd"])
+
+
+def _told(text: Column, pairs) -> Column:
+    """The names whose sign the text holds and whose test it passes; the text's upper case is found once for all of them."""
+    named = lambda bound: _named((name, _signed(text, name, bound) & test) for name, test in pairs)
+    return F.get(F.transform(F.array(_bound(text)), named), 0)
 
 
 def currencies(text: Column) -> Column:
     """All currencies that a text mentions."""
-    return _named((c, _signed(text, c) & text.rlike(p)) for c, p in CURRENCIES.items())
+    return _told(text, [(c, text.rlike(p)) for c, p in CURRENCIES.items()])
 
 
 def units(text: Column) -> Column:
     """All units that a text mentions."""
     plain = F.regexp_replace(text, SCALED, "").rlike(PLAIN_UNIT)
-    return _named([*((u, _signed(text, u) & text.rlike(p)) for u, p in UNITS.items()), ("unit", _signed(text, "unit") & plain)])
+    return _told(text, [*((u, text.rlike(p)) for u, p in UNITS.items()), ("unit", plain)])
 
 
 def only(found: Column) -> Column:

@@ -8,7 +8,7 @@ that Spark cuts off before the shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon
 from ..functions.ids import uuid5
-from ..functions.text import compact, compacted, looks_like_table, normal_form, normalise, normalised, phrases_in, snippet
+from ..functions.forms import normal_forms
+from ..functions.text import compact, compacted, looks_like_table, normalise, normalised, phrases_in, snippet
 
 REACH = 4
 MARGIN = 450
@@ -81,75 +82,130 @@ def prepare(chunks: DataFrame) -> DataFrame:
     return statement_neighborhood(with_phrases, F.size("titles") > 0, F.size("audited_here") > 0, ("titles", "audited_here"))
 
 
-MATCH = "keywords array<string>, aliases int, exact boolean, start int, end int"
+FOUND = "array<struct<query_id:string,keywords:array<string>,aliases:int,exact:boolean,start:int,end:int>>"
+QUERIES = "query_id string, form string, intent string, broad boolean, terms array<string>"
 
+#: Terms up to which pages without any of them are left out by built-in functions before the automaton sees them.
+FEW_TERMS = 64
 
-def find_matches(text: str, query: str, aliases: Sequence[str]) -> dict | None:
-    """What of the query and its aliases a text holds, and the place of the best match.
 
-    Both forms are searched, all occurrences, overlapping ones too. Best is the query itself, then the longest stretch of
-    the text, then the first.
-    """
-    form, places = normal_form(text)
-    tight = [i for i, c in enumerate(form) if c != " "]
-    forms = ((form, places), ("".join(form[i] for i in tight), [places[i] for i in tight]))
-    terms = [(query, True)] + [(a, False) for a in aliases]
-    best, keywords, named = None, set(), set()
-    for term, exact in terms:
-        for hay, at in forms:
-            needle = term if hay is form else term.replace(" ", "")
-            spot = hay.find(needle) if needle else -1
-            while spot >= 0:
-                start, end = at[spot], at[spot + len(needle) - 1] + 1
-                keywords.add(term)
-                if not exact:
-                    named.add(term)
-                best = max(best or (False, 0, 0), (exact, end - start, -start)) if best else (exact, end - start, -start)
-                spot = hay.find(needle, spot + 1)
-    if best is None:
-        return None
-    exact, length, start = best
-    return {"keywords": sorted(keywords), "aliases": len(named), "exact": exact, "start": -start, "end": length - start}
+def asked_of(queries: Mapping[str, str]) -> list[tuple[str, str, str, bool, list[str]]]:
+    """(query_id, form, intent, broad, terms) of the queries that aren't blank; a query's first term is its own form."""
+    broad, out = {compacted(b) for b in lexicon.BROAD}, []
+    for query_id, text in queries.items():
+        if form := normalised(text or ""):
+            intent, aliases = intent_of(form)
+            out.append((query_id, form, intent, compacted(form) in broad, list(dict.fromkeys([form, *(normalised(a) for a in aliases)]))))
+    return out
+
+
+class Terms:
+    """All terms of all queries in two automata: one for spaced forms, one for forms without spaces."""
+
+    def __init__(self, asked: Sequence[tuple[str, list[str]]]):
+        import ahocorasick
+
+        self.ids = [query_id for query_id, _ in asked]
+        places: tuple[dict, dict] = ({}, {})
+        for q, (_, terms) in enumerate(asked):
+            for i, term in enumerate(terms):
+                for needle, by in zip((term, term.replace(" ", "")), places):
+                    by.setdefault(needle, []).append((q, term, i == 0))
+                    if i and term == terms[0]:
+                        by[needle].append((q, term, False))
+        self.automata = []
+        for by in places:
+            automaton = ahocorasick.Automaton()
+            for needle, uses in by.items():
+                automaton.add_word(needle, (len(needle), uses))
+            automaton.make_automaton()
+            self.automata.append(automaton)
+
+    def meets(self, form: str) -> bool:
+        return any(next(a.iter(hay), None) for a, hay in zip(self.automata, (form, form.replace(" ", ""))))
+
+    def matches(self, form: str, places: Sequence[int]) -> list[dict]:
+        """What of each query's terms a text holds, and the place of the best match.
+
+        Every occurrence counts, overlapping ones too. Best is the query itself, then the longest stretch of the text, then
+        the first.
+        """
+        tight = [i for i, c in enumerate(form) if c != " "]
+        best: dict[int, tuple] = {}
+        keywords: dict[int, set[str]] = {}
+        named: dict[int, set[str]] = {}
+        for automaton, hay, at in zip(self.automata, (form, "".join(form[i] for i in tight)), (places, [places[i] for i in tight])):
+            for last, (size, uses) in automaton.iter(hay):
+                start, end = int(at[last - size + 1]), int(at[last]) + 1
+                for q, term, exact in uses:
+                    rank = (exact, end - start, -start)
+                    best[q] = max(best.get(q, rank), rank)
+                    keywords.setdefault(q, set()).add(term)
+                    if not exact:
+                        named.setdefault(q, set()).add(term)
+        return [
+            {"query_id": self.ids[q], "keywords": sorted(keywords[q]), "aliases": len(named.get(q, ())), "exact": exact, "start": -start, "end": size - start}
+            for q, (exact, size, start) in sorted(best.items())
+        ]
 
 
 def search(prepared: DataFrame, query: str, limit: int = 3, query_id: str | None = None) -> DataFrame:
     """The best `limit` pages of each document as evidence rows; a blank query or no limit gives none."""
-    form = normalised(query or "")
-    intent, aliases = intent_of(form)
-    forms = list(dict.fromkeys(normalised(a) for a in aliases))
-    tight = form.replace(" ", "")
-
-    def match_batches(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        columns = ["keywords", "aliases", "exact", "start", "end"]
-        for texts in batches:
-            yield pd.DataFrame([find_matches(t, form, forms) or dict.fromkeys(columns) for t in texts], columns=columns)
-
-    there = F.lit(False)
-    for term in [form, *forms]:
-        there = there | F.contains("normal", F.lit(term)) | F.contains("compact", F.lit(term.replace(" ", "")))
-    some = prepared.where(there) if form and limit > 0 else prepared.where(F.lit(False))
-    m, near = F.col("match"), F.col("neighborhood")
-    broad = tight in {compacted(b) for b in lexicon.BROAD}
-    ending = intent in ENDING_INTENTS
-    if ending:
-        primary = F.concat("reconciliation_context", "ending_cash_context")
-    elif intent == "operating_cash_flow":
-        primary = F.col("audited_here")
-    else:
-        primary = F.expr("cast(array() as array<string>)")
+    return search_many(prepared, {query if query_id is None else query_id: query}, limit)
+
+
+def search_many(prepared: DataFrame, queries: Mapping[str, str], limit: int = 3) -> DataFrame:
+    """The best `limit` pages of each document for each query (by its id), in one pass over the pages however many there are.
+
+    The queries' own facts are a table of one row each; it is broadcast, and as large as the mapping that was passed in.
+    """
+    spark, asked = prepared.sparkSession, asked_of(queries)
+    terms_of = [(query_id, terms) for query_id, _, _, _, terms in asked]
+
+    def match_batches(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        terms = Terms(terms_of)
+        for texts, normals in batches:
+            hits = [i for i, form in enumerate(normals) if terms.meets(form)]
+            out: list[list[dict]] = [[]] * len(texts)
+            for i, (form, places) in zip(hits, normal_forms([texts.iloc[i] for i in hits])):
+                out[i] = terms.matches(form, places)
+            yield pd.Series(out)
+
+    distinct = list(dict.fromkeys(term for _, terms in terms_of for term in terms))
+    some = prepared.where(F.lit(bool(asked) and limit > 0))
+    if len(distinct) <= FEW_TERMS:
+        there = F.lit(False)
+        for term in distinct:
+            there = there | F.contains("normal", F.lit(term)) | F.contains("compact", F.lit(term.replace(" ", "")))
+        some = some.where(there)
+    facts = spark.createDataFrame(asked, QUERIES).drop("terms").withColumnRenamed("query_id", "_query_id")
+    some = some.withColumn("_found", F.pandas_udf(match_batches, FOUND)("text", "normal")).withColumn("match", F.explode("_found")).drop("_found")
+    some = some.join(F.broadcast(facts), F.col("match.query_id") == F.col("_query_id"))
+    return _scored(some, limit, [c for c in ("section",) if c in prepared.columns])
+
+
+def _scored(some: DataFrame, limit: int, kept: list[str]) -> DataFrame:
+    """Evidence rows of matched pages (match, form, intent and broad beside what `prepare` gives)."""
+    m, near, form, intent, broad = (F.col(c) for c in ("match", "neighborhood", "form", "intent", "broad"))
+    ending = intent.isin(*ENDING_INTENTS)
+    primary = (
+        F.when(ending, F.concat("reconciliation_context", "ending_cash_context"))
+        .when(intent == "operating_cash_flow", F.col("audited_here"))
+        .otherwise(F.expr("cast(array() as array<string>)"))
+    )
     has = lambda c: F.size(c) > 0
     audited = F.coalesce(F.col("neighborhood.audited_here"), F.expr("cast(array() as array<string>)"))
     on = lambda cond, points: F.when(cond, points if isinstance(points, Column) else F.lit(float(points))).otherwise(F.lit(0.0))
     terms = {
-        "exact_query": on(m["exact"], 0.08 if broad else 0.24),
+        "exact_query": on(m["exact"], F.when(broad, 0.08).otherwise(0.24)),
         "full_alias": on(m["aliases"] > 0, 0.18),
         "additional_aliases": F.least(F.lit(0.08), F.greatest(F.lit(0), m["aliases"] - 1) * F.lit(0.04)),
         "financial_context": on(has("financial_context"), 0.08),
         "statement_neighborhood": on(near.isNotNull(), F.greatest(F.lit(0.20), F.lit(0.38) - F.lit(0.04) * near["distance"])),
         "audited_context": on(has(audited), 0.12),
         "primary_statement_context": on(has(primary), 0.18),
-        "ending_cash_context": on(has("ending_cash_context") & F.lit(ending), 0.24),
-        "cash_flow_companions": on(F.lit(ending), F.least(F.lit(0.18), F.size("companions") * F.lit(0.06))),
+        "ending_cash_context": on(has("ending_cash_context") & ending, 0.24),
+        "cash_flow_companions": on(ending, F.least(F.lit(0.18), F.size("companions") * F.lit(0.06))),
         "table_context": on(F.col("table_context"), 0.08),
         "summary_context": on(has("summary_context"), -0.28),
         "note_context": on(has("note_context") & near.isNull(), -0.16),
@@ -160,32 +216,30 @@ def search(prepared: DataFrame, query: str, limit: int = 3, query_id: str | None
         total = total + F.col(f"score_breakdown.{name}")
     first = F.greatest(F.lit(0), m["start"] - MARGIN)
     last = F.least(F.length("text"), m["end"] + MARGIN)
-    name = F.concat_ws("|", "document_id", "chunk_id", F.lit(form), first, last)
+    name = F.concat_ws("|", "document_id", "chunk_id", form, first, last)
     scored = (
-        some.withColumn("match", F.pandas_udf(match_batches, MATCH)(F.col("text")))
-        .where(m["start"].isNotNull())
-        .withColumn("score_breakdown", F.struct(*[v.alias(k) for k, v in terms.items()]))
+        some.withColumn("score_breakdown", F.struct(*[v.alias(k) for k, v in terms.items()]))
         .withColumn("relevance_score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)))
         .where("relevance_score > 0")
         .withColumn("evidence_id", uuid5(name))
     )
-    best = Window.partitionBy("document_id").orderBy(F.desc("relevance_score"), "page", "chunk_id", "evidence_id")
+    best = Window.partitionBy("_query_id", "document_id").orderBy(F.desc("relevance_score"), "page", "chunk_id", "evidence_id")
     return (
         scored.withColumn("rank", F.row_number().over(best))
         .where(F.col("rank") <= limit)
         .select(
-            F.lit(query if query_id is None else query_id).alias("query_id"),
+            F.col("_query_id").alias("query_id"),
             "document_id",
             "rank",
             "evidence_id",
             "chunk_id",
             "page",
-            *[c for c in ("section",) if c in prepared.columns],
+            *kept,
             snippet(F.col("text"), m["start"], m["end"], MARGIN).alias("text"),
             F.lit("prospectus").alias("source_type"),
             "relevance_score",
             F.struct(
-                F.lit("keyword").alias("retriever"), F.lit(form).alias("normalized_query"), F.lit(intent).alias("query_intent"), F.lit(broad).alias("broad_query"),
+                F.lit("keyword").alias("retriever"), form.alias("normalized_query"), intent.alias("query_intent"), broad.alias("broad_query"),
                 m["keywords"].alias("matched_keywords"), F.when(m["exact"], "exact_query").otherwise("full_alias").alias("match_type"),
                 first.alias("snippet_start"), last.alias("snippet_end"), F.length("text").alias("source_text_length"), "score_breakdown", "financial_context",
                 primary.alias("primary_statement_context"), near["distance"].alias("statement_distance"), near["titles"].alias("statement_titles"),

@@ -53,10 +53,10 @@ def verify_generic(risks: DataFrame) -> DataFrame:
     return known.withColumn("verification_status", status).select(*risks.columns)
 
 
-def _check(name: str, passed: Column, issue: str | None, when: Column | None = None) -> Column:
-    """A check that is made only where `when` holds."""
-    made = F.struct(F.lit(name).alias("name"), F.coalesce(passed, F.lit(False)).alias("passed"), F.lit(issue).cast("string").alias("issue"))
-    return made if when is None else F.when(F.coalesce(when, F.lit(False)), made)
+def _check(name: str, passed: Column, issue: str | None, when: Column | None = None) -> tuple[str, str | None, Column]:
+    """A rule: its name, what it is called where it fails, and its outcome, null where `when` doesn't hold."""
+    made = F.coalesce(passed, F.lit(False))
+    return name, issue, made if when is None else F.when(F.coalesce(when, F.lit(False)), made)
 
 
 def _available(risks: DataFrame, evidence: DataFrame | None) -> DataFrame:
@@ -90,22 +90,34 @@ def verify_runway(risks: DataFrame, evidence: DataFrame | None = None) -> DataFr
 
     evidence: all rows that are known. None means that a risk's own evidence is what it is checked against.
     """
-    df = _available(risks, evidence)
     own, calc, meta = F.col("evidence"), F.col("calculation"), F.col("metadata")
     n = F.size(own)
     ids = F.transform(own, lambda e: e["evidence_id"])
     has_calc = calc.isNotNull()
     at = lambda array, i: F.get(array, F.lit(i))
     given = lambda name: calc["inputs"][name]
-    cash, flow, burn = (decimal_of(given(x)) for x in ("cash", "operating_cash_flow", "monthly_burn"))
-    months = F.trim(given("period_months")).try_cast("int")
-    ends = [given(x).try_cast("date") for x in ("cash_period_end", "operating_cash_flow_period_end")]
-    complete = has_calc
-    for name in INPUTS:
-        complete = complete & F.array_contains(F.map_keys(calc["inputs"]), name)
-    countable = complete & cash.isNotNull() & flow.isNotNull() & months.isin(*PERIOD_MONTHS) & (cash >= 0) & (flow < 0)
-    rounded, true_burn, level = runway_months(cash, flow, months), monthly_burn(flow, months), runway_level(cash, flow, months)
     blank = lambda x: x.isNull() | (stripped(x) == "")
+    held = has_calc
+    for name in INPUTS:
+        held = held & F.array_contains(F.map_keys(calc["inputs"]), name)
+
+    # inputs are parsed into columns of their own, so that no rule parses them again
+    df = _available(risks, evidence).withColumns(
+        {f"_{x}": decimal_of(given(x)) for x in ("cash", "operating_cash_flow", "monthly_burn")}
+        | {"_months": F.trim(given("period_months")).try_cast("int"), "_complete": F.coalesce(held, F.lit(False))}
+        | {f"_end{i}": given(x).try_cast("date") for i, x in enumerate(("cash_period_end", "operating_cash_flow_period_end"))}
+        | {f"_spaced{i}": F.array(one_spaced(at(own, i)["text"]), one_spaced(at(F.col("available"), i)["text"])) for i in range(2)}
+    )
+    cash, flow, burn, months, complete = (F.col(c) for c in ("_cash", "_operating_cash_flow", "_monthly_burn", "_months", "_complete"))
+    ends = [F.col("_end0"), F.col("_end1")]
+    able = complete & cash.isNotNull() & flow.isNotNull() & months.isin(*PERIOD_MONTHS) & (cash >= 0) & (flow < 0)
+    df = df.withColumn("_countable", F.coalesce(able, F.lit(False)))
+    countable = F.col("_countable")
+    # the recalculation may divide by the inputs, so it is made only where they allow it
+    df = df.withColumns(
+        {"_rounded": F.when(countable, runway_months(cash, flow, months)), "_burn": F.when(countable, monthly_burn(flow, months)), "_level": F.when(countable, runway_level(cash, flow, months))}
+    )
+    rounded, true_burn, level = F.col("_rounded"), F.col("_burn"), F.col("_level")
 
     checks = [
         _check("risk_code", F.col("risk_code") == "cash_runway", "risk_code_invalid"),
@@ -126,7 +138,7 @@ def verify_runway(risks: DataFrame, evidence: DataFrame | None = None) -> DataFr
         for field in ("evidence_id", "document_id", "chunk_id", "page", "source_type"):
             same = same & e[field].eqNullSafe(a[field])
         texts = ~blank(e["text"]) & ~blank(a["text"])
-        equal = texts & (one_spaced(e["text"]) == one_spaced(a["text"]))
+        equal = texts & (F.col(f"_spaced{i}")[0] == F.col(f"_spaced{i}")[1])
         source = (e["source_type"] == "prospectus") & (a["source_type"] == "prospectus")
         resolved.append(F.coalesce(known & same & equal & source, F.lit(False)))
         checks += [
@@ -181,7 +193,9 @@ def verify_runway(risks: DataFrame, evidence: DataFrame | None = None) -> DataFr
         _check("risk_score", F.col("score") == level["score"], "risk_score_mismatch", countable),
         _check("conclusion", fair, "risk_conclusion_invalid", countable),
     ]
-    made = F.filter(F.array(*checks), lambda c: c.isNotNull())
+    table = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(issue).cast("string").alias("issue")) for name, issue, _ in checks])
+    zipped = F.zip_with("_outcomes", table, lambda passed, rule: F.struct(rule["name"].alias("name"), passed.alias("passed"), rule["issue"].alias("issue")))
+    made = F.filter(zipped, lambda c: c["passed"].isNotNull())
     failed = F.filter("_checks", lambda c: ~c["passed"])
     few = (n < 2) & F.array_contains("verification_issues", "risk_evidence_count_invalid")
     waits = lambda i: (i == "evidence_id_missing") | i.endswith("_evidence_unavailable") | (few & i.isin("risk_evidence_count_invalid", "calculation_evidence_ids_mismatch"))
@@ -196,12 +210,13 @@ def verify_runway(risks: DataFrame, evidence: DataFrame | None = None) -> DataFr
         "Evidence passed; Calculation was independently recalculated; risk level and deterministic rule score matched policy. The score is not a probability.",
     ).otherwise(F.concat(F.lit("Cash runway verification failed: "), F.array_join("verification_issues", ", ")))
     return (
-        df.withColumn("_checks", made)
+        df.withColumn("_outcomes", F.array(*[outcome for _, _, outcome in checks]))
+        .withColumn("_checks", made)
         .withColumn("verification_issues", F.array_distinct(F.filter(F.transform(failed, lambda c: c["issue"]), lambda i: i.isNotNull())))
         .withColumn("verification_status", status)
         .withColumn("verification_notes", notes)
         .withColumn("checks", F.map_from_entries(F.transform("_checks", lambda c: F.struct(c["name"], c["passed"]))))
-        .drop("_checks", "available")
+        .drop("_checks", "_outcomes", "_level", "_rounded", "_countable", *[c for c in df.columns if c.startswith("_")], "available")
     )
 
 

@@ -33,14 +33,17 @@ def metrics_of(chunks: DataFrame, cash_query: str = CASH_QUERY, flow_query: str
     """evidence rows of both queries and one metric row for each document and metric."""
     work = work or Workspace(chunks.sparkSession)
     prepared = work.keep(retrieval.prepare(chunks), "prepared")
-    pages = work.keep(extraction.prepare_pages(chunks), "pages")
-    evidence = metrics = None
-    for name, query in ((extraction.CASH, cash_query), (extraction.FLOW, flow_query)):
-        found = work.keep(retrieval.search(prepared, query, EVIDENCE_ROWS, name), "evidence")
-        candidates = work.keep(extraction.candidates(found, pages, name), "candidates")
-        one = work.keep(extraction.select(candidates, chunks, name), "metric")
-        evidence = found if evidence is None else evidence.unionByName(found)
-        metrics = one if metrics is None else metrics.unionByName(one)
+    evidence = work.keep(retrieval.search_many(prepared, {extraction.CASH: cash_query, extraction.FLOW: flow_query}, EVIDENCE_ROWS), "evidence")
+    work.drop(prepared)
+    # only pages with evidence and those beside them are ever read
+    near = evidence.select("document_id", F.explode(F.sequence(F.col("page") - 1, F.col("page") + 1)).alias("page")).distinct()
+    pages = work.keep(extraction.prepare_pages(chunks.join(near, ["document_id", "page"], "left_semi")), "pages")
+    both = lambda make: make(extraction.CASH).unionByName(make(extraction.FLOW))
+    candidates = work.keep(both(lambda name: extraction.candidates(evidence.where(F.col("query_id") == name), pages, name).withColumn("_metric", F.lit(name))), "candidates")
+    work.drop(pages)
+    chosen = lambda name: extraction.select(candidates.where(F.col("_metric") == name).drop("_metric"), chunks, name)
+    metrics = work.keep(both(chosen), "metrics")
+    work.drop(candidates)
     return evidence, metrics
 
 
