@@ -32,18 +32,19 @@ class Chain:
 def metrics_of(chunks: DataFrame, cash_query: str = CASH_QUERY, flow_query: str = FLOW_QUERY, work: Workspace | None = None) -> tuple[DataFrame, DataFrame]:
     """evidence rows of both queries and one metric row for each document and metric."""
     work = work or Workspace(chunks.sparkSession)
-    prepared = work.keep(retrieval.prepare(chunks), "prepared")
+    # dealt by document at once, so that the windows over a document's pages need no shuffle of their own
+    parts = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    prepared = work.keep(retrieval.prepare(chunks.repartition(parts, "document_id")), "prepared")
     evidence = work.keep(retrieval.search_many(prepared, {extraction.CASH: cash_query, extraction.FLOW: flow_query}, EVIDENCE_ROWS), "evidence")
-    work.drop(prepared)
     # only pages with evidence and those beside them are ever read
     near = evidence.select("document_id", F.explode(F.sequence(F.col("page") - 1, F.col("page") + 1)).alias("page")).distinct()
-    pages = work.keep(extraction.prepare_pages(chunks.join(near, ["document_id", "page"], "left_semi")), "pages")
+    pages = work.keep(extraction.prepare_pages(prepared.select(*chunks.columns).join(near, ["document_id", "page"], "left_semi")), "pages")
     both = lambda make: make(extraction.CASH).unionByName(make(extraction.FLOW))
     candidates = work.keep(both(lambda name: extraction.candidates(evidence.where(F.col("query_id") == name), pages, name).withColumn("_metric", F.lit(name))), "candidates")
     work.drop(pages)
-    chosen = lambda name: extraction.select(candidates.where(F.col("_metric") == name).drop("_metric"), chunks, name)
+    chosen = lambda name: extraction.select(candidates.where(F.col("_metric") == name).drop("_metric"), prepared, name)
     metrics = work.keep(both(chosen), "metrics")
-    work.drop(candidates)
+    work.drop(candidates, prepared)
     return evidence, metrics
 
 
