@@ -1,8 +1,8 @@
 """The whole analysis of any number of requests at once, from profiles to the report.
 
 Every part is a named component; the chain runs them one after another, and a part that fails costs its own rows only: an
-agent leaves no risks, the verifier leaves all of them pending, the predictor leaves no predictions. The requests are the
-tasks, and a task's document bears its id.
+agent leaves no risks, the verifier leaves all of them pending, the predictor leaves no predictions. An agent that fails on
+some requests loses the rows of these alone. The requests are the tasks, and a task's document bears its id.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ids import uuid5
-from ..operators import agents, merge, scoring, verify
+from ..operators import agents, isolation, merge, scoring, verify
 from .evidence_chain import runway_chain
 from .pipeline import Registry, Step
 
@@ -23,6 +23,8 @@ AGENTS = ("financial", "legal", "business", "market")
 EVIDENCE = "array<struct<evidence_id:string>>"
 #: Risks as the chain passes them on; own_status is what an agent's own suite of checks says, else null.
 RISKS = f"task_id string, risk_id string, seq long, risk_code string, category string, level string, score double, conclusion string, evidence {EVIDENCE}, own_status string"
+#: What a function of one request gives for each risk that it finds.
+FINDING = "task_id string, risk_code string, category string, level string, score double, conclusion string"
 PREDICTIONS = "task_id string, risk_score double, risk_level string, degraded_mode boolean"
 
 
@@ -34,6 +36,17 @@ def _failing(agent: str) -> Callable[[State], DataFrame]:
     return lambda state: _plain(agents.failing(state["profiles"]))
 
 
+def _guarded(agent: str, function: isolation.RowAgent) -> Callable[[State], Mapping[str, DataFrame]]:
+    """An agent that is a function of one request; what it raises for a request becomes a failure of that one."""
+
+    def risks_of(state: State) -> Mapping[str, DataFrame]:
+        outcome = isolation.guarded(state["requests"], function, FINDING)
+        rows, lost = isolation.parted(outcome, f"{agent}_agent")
+        return {f"{agent}_risks": _plain(rows), "failures": lost}
+
+    return risks_of
+
+
 def _disabled(agent: str) -> Callable[[State], DataFrame]:
     return lambda state: state["profiles"].sparkSession.createDataFrame([], RISKS).drop("seq")
 
@@ -69,7 +82,7 @@ def _failing_prediction(risks: DataFrame, market: DataFrame) -> DataFrame:
 
 
 COMPONENTS = Registry()
-for _name, _agent in {"trial": _trial, "failing": _failing, "disabled": _disabled, "runway": _runway}.items():
+for _name, _agent in {"trial": _trial, "failing": _failing, "disabled": _disabled, "runway": _runway, "guarded": _guarded}.items():
     COMPONENTS.register("agent", _name, _agent)
 COMPONENTS.register("predictor", "rule_based", lambda: _rule_based)
 COMPONENTS.register("predictor", "failing", lambda: _failing_prediction)
@@ -97,15 +110,16 @@ def verified(state: State) -> DataFrame:
     return known.withColumn("verification_status", status).select(*risks.columns, "verification_status")
 
 
-def steps(predictor: str = "rule_based", **kinds: str) -> list[Step]:
-    """The chain; kinds names the component of each agent, a trial one by default.
+def steps(predictor: str = "rule_based", functions: Mapping[str, isolation.RowAgent] | None = None, **kinds: str) -> list[Step]:
+    """The chain; kinds names the component of each agent, a trial one by default; functions has those of guarded ones.
 
     It reads the frames requests (task_id, company_name, stock_code), pages (document_id, chunk_id, page, text), evidence
     (task_id, risk_code, evidence, error) and, where there is one, market.
     """
     if unknown := set(kinds) - set(AGENTS):
         raise ValueError(f"unknown agents: {sorted(unknown)}")
-    made = {name: COMPONENTS.create("agent", kinds.get(name, "trial"), agent=name) for name in AGENTS}
+    options = {name: {"function": f} for name, f in (functions or {}).items()}
+    made = {name: COMPONENTS.create("agent", kinds.get(name, "guarded" if name in options else "trial"), agent=name, **options.get(name, {})) for name in AGENTS}
     predict = COMPONENTS.create("predictor", predictor)
     empty = lambda schema: lambda state: state["requests"].sparkSession.createDataFrame([], schema)
     no_risks = empty(RISKS)
@@ -115,7 +129,16 @@ def steps(predictor: str = "rule_based", **kinds: str) -> list[Step]:
         return {"chunks": state["pages"].join(asked, "document_id", "left_semi")}
 
     def agent(name: str) -> Step:
-        return Step(f"{name}_agent", lambda s: {f"{name}_risks": made[name](s)}, lambda s: {f"{name}_risks": no_risks(s).drop("seq")})
+        def run(state: State) -> Mapping[str, DataFrame]:
+            found = made[name](state)
+            return found if isinstance(found, Mapping) else {f"{name}_risks": found}
+
+        def only(state: State, some: DataFrame) -> State:
+            documents = some.withColumnRenamed("task_id", "document_id")
+            by_task = {x: state[x].join(some, "task_id", "left_semi") for x in ("profiles", "requests")}
+            return {**by_task, "chunks": state["chunks"].join(documents, "document_id", "left_semi")}
+
+        return Step(f"{name}_agent", run, lambda s: {f"{name}_risks": no_risks(s).drop("seq")}, tasks=lambda s: s["requests"], only=only)
 
     best = ["risk_id", "level", "score", "conclusion"]
     return [

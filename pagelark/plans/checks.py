@@ -358,21 +358,22 @@ def statement_pages(customer: DataFrame) -> DataFrame:
     return placed.select("document_id", F.concat_ws(":", "document_id", F.lit("page"), page).alias("chunk_id"), page.alias("page"), F.lit("unknown").alias("section"), "text")
 
 
-@query(
-    """
+RUNWAY_SQL = """
 WITH c AS (SELECT c_custkey AS k, CAST(floor(abs(c_acctbal)) AS HUGEINT) AS cash, CAST(c_custkey * 7 + 1 AS HUGEINT) AS burn FROM customer),
 judged AS (
   SELECT k, CASE WHEN k % 10 = 1 THEN 'retriever_no_result' WHEN k % 10 = 0 THEN 'not_applicable' ELSE 'built' END AS agent_status,
          CASE WHEN 3 * cash < 3 * burn THEN 'critical' WHEN 3 * cash < 6 * burn THEN 'high' WHEN 3 * cash < 12 * burn THEN 'medium' ELSE 'low' END AS level,
          CAST((600 * cash + burn) // (2 * burn) AS BIGINT) AS hundredths, cash FROM c
-)
+), chain AS (
 SELECT CAST(k AS VARCHAR) AS document_id, agent_status, CASE WHEN agent_status = 'built' THEN level END AS level,
        CASE WHEN agent_status = 'built' THEN CASE level WHEN 'critical' THEN 90.0::DOUBLE WHEN 'high' THEN 80.0 WHEN 'medium' THEN 60.0 ELSE 20.0 END END AS score,
        CASE WHEN agent_status = 'built' THEN concat(hundredths // 100, '.', lpad(CAST(hundredths % 100 AS VARCHAR), 2, '0')) END AS runway,
        CASE WHEN agent_status = 'built' THEN CASE WHEN cash BETWEEN 100 AND 999 THEN 'needs_review' ELSE 'verified' END END AS verification_status
 FROM judged
-"""
-)
+)"""
+
+
+@query(RUNWAY_SQL + "SELECT * FROM chain")
 def runway_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search, extraction, risk building and verification over the pages of all customers.
 
