@@ -333,14 +333,20 @@ def amount_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", amount(text).cast("double").alias("amount"))
 
 
-@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS period_end, CAST(CASE WHEN o_orderkey % 3 = 2 THEN 12 ELSE 6 END AS INTEGER) AS months FROM orders WHERE year(o_orderdate) >= 2000")
+@query(
+    """
+SELECT o_orderkey, CASE WHEN year(o_orderdate) BETWEEN 2000 AND 2099 THEN strftime(o_orderdate, '%Y-%m-%d') END AS period_end,
+       CASE WHEN year(o_orderdate) BETWEEN 2000 AND 2099 THEN CAST(CASE WHEN o_orderkey % 3 = 2 THEN 12 ELSE 6 END AS INTEGER) END AS months
+FROM orders
+"""
+)
 def period_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three printed forms of a period."""
+    """Three printed forms of a period; only years 20xx are read, others give null."""
     d = F.col("o_orderdate")
     forms = [F.concat(F.lit("six months ended "), F.date_format(d, "d MMMM yyyy")), F.concat(F.lit("6 months ended "), F.date_format(d, "MMMM d, yyyy")), F.concat(F.lit("year ended "), F.date_format(d, "yyyy-MM-dd"))]
     line = F.element_at(F.array(*forms), (F.col("o_orderkey") % 3 + 1).cast("int"))
-    read = table(spark, sf_dir, "orders").where(F.year(d) >= 2000).select("o_orderkey", periods.header(F.array(line)).alias("h"))
-    return read.select("o_orderkey", F.col("h.periods")[0]["end"].cast("string").alias("period_end"), F.col("h.periods")[0]["months"].alias("months"))
+    read = table(spark, sf_dir, "orders").select("o_orderkey", F.get(periods.header(F.array(line))["periods"], F.lit(0)).alias("first"))
+    return read.select("o_orderkey", F.col("first.end").cast("string").alias("period_end"), F.col("first.months").alias("months"))
 
 
 HEAD = "截至12月31日止年度\n截至3月31日止三個月\n2022年\n2023年\n2023年\n2024年\n人民幣千元\n"

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import isolation
+from ..sources import pages, stored
+from ..sources.scratch import shared_folder
 from . import analysis, checks, pipeline
 from .queries import query, table
 
@@ -72,3 +74,40 @@ def analysis_by_request(spark: SparkSession, sf_dir: str) -> DataFrame:
     states = pipeline.task_states(state["requests"], found, "all").select("task_id", "status", F.array_join("errors", "|").alias("errors"))
     out = states.join(risks, "task_id", "left").join(scores, "task_id", "left")
     return out.select("task_id", "status", "errors", "runway_status", F.coalesce("pending", F.lit(0)).alias("pending"), F.coalesce("risk_score", F.lit(0.0)).alias("risk_score"))
+
+
+@query(
+    """
+SELECT o_orderkey AS analysis_id, CASE WHEN o_orderkey % 10 = 0 THEN 'partial' ELSE 'completed' END AS status, CASE WHEN o_orderkey % 10 = 0 THEN 'save_failure' END AS save_error,
+       CASE WHEN o_orderkey % 10 = 0 THEN NULL WHEN o_orderkey % 3 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS total
+FROM orders
+"""
+)
+def stored_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results written, read back and published; a third is written again with another total, and a tenth is spoiled on its
+    way in both writes."""
+    folder = shared_folder(spark)
+    results = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("analysis_id"), F.lit("completed").alias("status"), F.col("o_totalprice").alias("total"))
+    stored.save(results, folder, fault_modulus=10)
+    stored.save(results.where("analysis_id % 3 = 0").withColumn("total", F.col("total") + 1), folder, fault_modulus=10)
+    found = stored.stored(spark, folder, "analysis_id long, total double").select("analysis_id", "total")
+    return stored.outcomes(spark, folder, results).join(found, "analysis_id", "left")
+
+
+@query(
+    r"""
+WITH split AS (SELECT doc_id, string_split(text, chr(10)) AS ps, len(string_split(text, chr(10))) AS n FROM documents)
+SELECT CAST(doc_id AS VARCHAR) AS document_id, CASE WHEN text_blank THEN 0 ELSE CAST(n AS INTEGER) END AS page_count, NOT text_blank AND is_text AS is_text,
+       CASE WHEN text_blank THEN 'pdf_metadata_failed' ELSE 'not_run' END AS parser_status
+FROM (
+  SELECT doc_id, n, len(ps) = 1 AND ps[1] = '' AS text_blank,
+         len(list_filter([0, n // 4, n // 2, n * 3 // 4, n - 1], lambda i: regexp_matches(ps[i + 1], '[^\s]'))) > 0 AS is_text
+  FROM split
+)
+"""
+)
+def inspected_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts as documents, each line a page: the true number of pages, and whether the sampled ones hold text."""
+    docs = table(spark, sf_dir, "documents")
+    files = docs.select(F.col("doc_id").cast("string").alias("path"), F.translate(F.coalesce("text", F.lit("")), "\n", "\f").cast("binary").alias("content"))
+    return pages.inspect(files).select("document_id", "page_count", "is_text", "parser_status")

@@ -8,8 +8,9 @@ in. Bad input gives rows with an error code, never an exception.
 from __future__ import annotations
 
 import io
+import re
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from pathlib import PurePosixPath
 
 import pandas as pd
@@ -121,20 +122,86 @@ def missing_files(wanted: DataFrame, files: DataFrame) -> DataFrame:
     return lacking.select(*[values.get(n, F.lit(None)).cast(t).alias(n) for n, t in (f.split() for f in PAGES.split(", "))])
 
 
-def inspected(decoded: DataFrame, document: str = "document_id") -> DataFrame:
+class FormFeeds:
+    """Pages of a UTF-8 text by their places; only the pages that are asked for are decoded."""
+
+    def __init__(self, content: bytes):
+        self.content, self.edges = content, [-1, *(m.start() for m in re.finditer(b"\f", content)), len(content)]
+
+    def __len__(self) -> int:
+        return len(self.edges) - 1
+
+    def __getitem__(self, i: int) -> str:
+        try:
+            return self.content[self.edges[i] + 1 : self.edges[i + 1]].decode("utf-8")
+        except UnicodeDecodeError as e:
+            raise PageError("pdf_open_failure", str(e)) from None
+
+
+def sampled_places(count: int) -> list[int]:
+    """Places, from 0, of the pages that stand for a document: first, quarters, last."""
+    return sorted({0, count // 4, count // 2, count * 3 // 4, count - 1}) if count > 0 else []
+
+
+INSPECTED = "document_id string, page_count int, is_text boolean, parser_status string, error_count long, parser_message string"
+
+
+def inspect(files: DataFrame, opened: Callable[[bytes], Sequence[str | None]] = FormFeeds, document_id: Column | None = None) -> DataFrame:
+    """A row for each file (path, content): page_count, is_text, parser_status, error_count, parser_message.
+
+    opened gives a document's pages by place and their number; at most five pages of a document are decoded. Blank pages
+    count. A sampled page that can't be decoded holds no text; an empty or unreadable file, or one without pages, is
+    pdf_metadata_failed with no pages.
+    """
+    name = F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1) if document_id is None else document_id
+
+    def looked_at(content: bytes | None) -> tuple:
+        try:
+            if not content:
+                raise PageError("empty_pdf", "the file is empty")
+            found = opened(content)
+            if not len(found):
+                raise PageError("empty_pdf", "the document has no pages")
+        except PageError as e:
+            return 0, False, "pdf_metadata_failed", 1, f"{e.code}: {e}"
+        text = False
+        for i in sampled_places(len(found)):
+            try:
+                text = text or bool((found[i] or "").strip())
+            except PageError:
+                continue
+        return len(found), text, "not_run", 0, ""
+
+    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(d, *looked_at(c)) for d, c in zip(batch["document_id"], batch["content"])]
+            yield pd.DataFrame(rows, columns=[f.split()[0] for f in INSPECTED.split(", ")])
+
+    return files.select(name.alias("document_id"), "content").mapInPandas(decode, INSPECTED)
+
+
+def inspected(decoded: DataFrame, document: str = "document_id", counts: DataFrame | None = None) -> DataFrame:
     """A row for each document of pages(): page_count, is_text, parser_status, error_count, parser_message.
 
-    Whether a document holds text is read from its sampled pages alone. Blank pages have no row, so that the last page
-    known stands for the count; a fatal error gives pdf_metadata_failed.
+    Whether a document holds text is read from its sampled pages alone. Blank pages have no row in pages(), so counts
+    (the document and its page_count) tells how many there are; without it the last page known stands for the count, and
+    documents that end in blank pages are better looked at by `inspect`. A fatal error gives pdf_metadata_failed, except
+    that of a counted document without text.
     """
     fatal = F.col("error_code").isNotNull() & ~F.coalesce("recoverable", F.lit(False))
-    counts = decoded.groupBy(document).agg(
-        F.coalesce(F.max("page"), F.lit(0)).alias("page_count"), F.count_if(fatal).alias("error_count"), F.min(F.when(fatal, F.concat_ws(": ", "error_code", "error"))).alias("_message"),
+    known = F.lit(None).cast("int")
+    if counts is not None:
+        decoded = decoded.join(counts.select(document, F.col("page_count").cast("int").alias("_known")), document, "left")
+        known = F.col("_known")
+        # a counted document without text is blank, not broken
+        fatal = fatal & ~((F.col("error_code") == "empty_pdf") & (F.coalesce(known, F.lit(0)) > 0))
+    counts_of = decoded.groupBy(document).agg(
+        F.coalesce(F.max(known), F.max("page"), F.lit(0)).alias("page_count"), F.count_if(fatal).alias("error_count"), F.min(F.when(fatal, F.concat_ws(": ", "error_code", "error"))).alias("_message"),
         F.collect_set(F.when(F.col("text").isNotNull(), F.col("page") - 1)).alias("_texts"),
     )
     sampled = F.coalesce(F.arrays_overlap(page_sample(F.col("page_count")), F.transform("_texts", lambda p: p.cast("bigint"))), F.lit(False))
     failed = F.col("error_count") > 0
-    return counts.select(
+    return counts_of.select(
         document, F.when(failed, 0).otherwise(F.col("page_count")).alias("page_count"), (~failed & sampled).alias("is_text"),
         F.when(failed, "pdf_metadata_failed").otherwise("not_run").alias("parser_status"), "error_count", F.coalesce("_message", F.lit("")).alias("parser_message"),
     )
