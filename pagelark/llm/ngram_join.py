@@ -29,7 +29,8 @@ a chance of 2^-64 a pair. Links are exact up to that.
 
 Cases: a text that is null, empty or has no words has an empty set and links with nothing; with fewer words than n the
 whole sequence is one n-gram. Rows with a null id get their size, but no component and no links. Rows that repeat an id
-with equal text count as copies; with different texts they join their components. Texts are read whole. Extra columns
+with equal text count as copies; with different texts they join their components. Ids may be numbers or of another type with
+an order, by which the smallest is found. Texts are read whole. Extra columns
 pass through `annotate` untouched unless they bear the name of an output column, which then replaces them.
 """
 
@@ -43,6 +44,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.scratch import Workspace
 from .components import connected
@@ -343,6 +345,8 @@ def components(docs: DataFrame, ngram: int = 5, percent: int = 80, id_col: str =
     """One row for each row of docs: the id, n_shingles, component_id, n_links."""
     spark = docs.sparkSession
     scratch = Workspace(spark)
+    if not isinstance(docs.schema[id_col].dataType, T.NumericType):
+        return _by_number(docs, ngram, percent, id_col, text_col, scratch)
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("id"), F.col(id_col).isNotNull().alias("known"), F.col(text_col).alias("text"))
     texts = texts.withColumn("mark", F.xxhash64("text"))
     described = scratch.keep(
@@ -450,6 +454,19 @@ def components(docs: DataFrame, ngram: int = 5, percent: int = 80, id_col: str =
     )
 
 
+def _by_number(docs: DataFrame, ngram: int, percent: int, id_col: str, text_col: str, scratch: Workspace) -> DataFrame:
+    """components() of ids that are no numbers: they are numbered in their order, and named again at the end."""
+    ids = docs.select(F.col(id_col).alias("_id")).where("_id IS NOT NULL").distinct()
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = ids.repartitionByRange(parts, "_id").sortWithinPartitions("_id").withColumn("_number", F.monotonically_increasing_id())
+    ordered = scratch.keep(ordered, "numbers")
+    numbered = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(ordered, "_id", "left").select(F.col("_number").alias("number"), "text")
+    found = components(numbered, ngram, percent, "number", "text")
+    named = lambda number, name: ordered.select(F.col("_number").alias(number), F.col("_id").alias(name))
+    out = found.join(named("number", id_col), "number", "left").withColumnRenamed("component_id", "_component").join(named("_component", "component_id"), "_component", "left")
+    return out.select(id_col, "n_shingles", "component_id", "n_links")
+
+
 def representatives(docs: DataFrame, ngram: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The columns of docs for one document of each component, that with the smallest id; null ids stay."""
     found = components(docs, ngram, percent, id_col, text_col)

@@ -115,10 +115,24 @@ def pairs(text: str) -> Iterator[tuple[str, str, int, int]]:
         kind = tokens[i][0]
         if kind in ("word", "string") and i + 1 < n and tokens[i + 1][0] == "assign" and word(i + 1) in ("=", ":", ":=", "=>"):
             return word(i).strip("\"'`"), i + 2
+        if kind == "string" and 0 < i < n - 2 and word(i - 1) == "[" and word(i + 1) == "]" and word(i + 2) in ("=", ":="):
+            return word(i)[1:-1], i + 3  # an entry by its key
         if kind == "flag" and i + 1 < n:
             return word(i)[2:], i + 1 + (word(i + 1) == "=")
         return (word(i)[1:-1], i + 1) if kind == "open" else ("", i)
 
+    def block(i: int) -> int:
+        """Place of the first token of a block scalar that the token at i opens; i itself if it opens none."""
+        if not (1 <= i < n and word(i) in ("|", ">") and word(i - 1) == ":"):
+            return i
+        j = i + 1
+        while j < n and (word(j) in ("-", "+") or tokens[j][0] == "number") and tokens[j][1] == tokens[j - 1][2]:
+            j += 1
+        first = j
+        while j < n and tokens[j][0] == "line":
+            j += 1
+        return j if first < j < n else i
+
     defined = {name for i in range(n) if (name := target(i)[0])}
     found: list[tuple[str, tuple[str, int, int] | None, str]] = []  # name, literal, the name that it refers to
     i = 0
@@ -127,13 +141,15 @@ def pairs(text: str) -> Iterator[tuple[str, str, int, int]]:
         if not name or at >= n:
             i += 1
             continue
+        opened = block(at)
+        of_block, at = opened != at, opened
         joined, first, last, j = "", None, None, at
         while j < n and tokens[j][0] == "string" and len(word(j)) >= 2:
             joined, first, last = joined + word(j)[1:-1], tokens[j][1] + 1 if first is None else first, tokens[j][2] - 1
             j += 1 + (j + 2 < n and tokens[j + 1][0] == "plus" and tokens[j + 2][0] == "string")
         refers = ""
         if first is None and tokens[at][0] in ("word", "number", "plus", "other"):
-            if tokens[at][0] == "word" and word(at) in defined:
+            if tokens[at][0] == "word" and word(at) in defined and not of_block:
                 refers = word(at)
             elif bare := BARE.match(text, tokens[at][1]):
                 joined, first = bare[0].rstrip(".=,;"), tokens[at][1]
