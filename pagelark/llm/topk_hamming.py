@@ -1,19 +1,20 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
-A vector's code has one bit for each dimension, set where the value is positive. Codes are cut into m segments of about
-log2(n) bits, and a table lists the distinct codes by (segment, value). A query code looks up the values within radius r
+A vector's code has one bit for each dimension, set where the value is positive. Codes are cut into m segments of a
+few bits less than log2(n), and a table lists the distinct codes by (segment, value). A query code looks up the values within radius r
 of its own, r = 0, 1, 2, ...: a code at distance d has some segment within floor(d / m), so once radius r is done every
-code up to distance m (r + 1) - 1 has been seen. The search of a query ends when its kth verified distance is within
-that. Nothing is approximate, and ties go to the smaller id.
+code up to distance m (r + 1) - 1 has been seen; once only s of the segments have been looked up with radius r, up to
+m r + s - 1. The search of a query ends when its kth verified distance is within that. Nothing is approximate, and ties go to
+the smaller id.
 
-Each radius is one round of joins on (segment, value), for the queries that are still open: probes are the queries'
-segments with r bits flipped, what they meet is verified by the whole codes, and the best so far go on to the next round
-through the shared folder. Once a query has k of them, the join passes on only codes no farther than its kth distance:
+Each half of the segments at each radius (radii 0 and 1 at once) is one round of joins on (segment, value), for the queries
+that are still open: probes are the queries' segments with r bits flipped, what they meet is verified by the whole codes, and
+the best so far go on to the next round through the shared folder. Once a query has k of them, the join passes on only codes no farther than its kth distance:
 others can't be among its answers. A code that several segments would find counts under the first of its nearest segments, so it
 is verified once. The joins are on keys that adaptive execution can split where a value is hot; all of it is built-in
 functions.
 
-Where the probes of a radius would outnumber PROBES codes each of the open queries had rather be compared with all codes:
+Where the probes of a round would outnumber PROBES x all codes each of the open queries had rather be compared with all codes:
 queries in blocks against chunks of codes, k rows for each query from each chunk. That is also the exact way for tables
 of a few codes and for queries far from everything.
 
@@ -42,8 +43,11 @@ CHUNK = 1 << 13
 BLOCK = 1 << 9
 #: Bits of a segment at most; bounds the table of masks that is broadcast.
 WIDTH = 20
+#: Bits by which a segment is narrower than log2(codes): a value then has 2^SPARE codes on average, so that what the probes
+#: cost and what the codes they meet cost are about alike; with wider segments the probes outnumber the codes they meet.
+SPARE = 2
 #: Share of all codes that a query's probes of one radius may amount to.
-PROBES = 0.25
+PROBES = 1.0
 
 
 def code_of(vector: Column, dims: int) -> Column:
@@ -60,8 +64,8 @@ def _bits(vector: Column, first: int, width: int) -> Column:
 
 
 def segment_bounds(dims: int, codes: int) -> list[tuple[int, int]]:
-    """(first dimension, width) of segments of about log2(codes) bits, near equal in width."""
-    width = min(WIDTH, max(4, round(log2(codes + 1))))
+    """(first dimension, width) of segments of about log2(codes) - SPARE bits, near equal in width."""
+    width = min(WIDTH, max(4, round(log2(codes + 1)) - SPARE))
     count = max(1, ceil(dims / width))
     edges = [dims * i // count for i in range(count + 1)]
     return [(a, b - a) for a, b in zip(edges, edges[1:])]
@@ -81,11 +85,11 @@ def _nearest(found: DataFrame, most: int, k: int) -> DataFrame:
     return few.select("asked", "id", "hamming")
 
 
-def _probed(entries: DataFrame, asked: DataFrame, bounds: list[tuple[int, int]], radii: list[int]) -> DataFrame:
-    """(asked, id, hamming) of the codes that some segment finds at one of the radii and none at a smaller one, and that are
-    within the query's bound where it has one."""
+def _probed(entries: DataFrame, asked: DataFrame, bounds: list[tuple[int, int]], radii: list[int], segments: range) -> DataFrame:
+    """(asked, id, hamming) of the codes that one of the segments finds at one of the radii and none finds at a smaller one,
+    and that are within the query's bound where it has one."""
     spark = entries.sparkSession
-    masks = [(j, r, sum(1 << i for i in c)) for j, (_, w) in enumerate(bounds) for r in radii if r <= w for c in combinations(range(w), r)]
+    masks = [(j, r, sum(1 << i for i in c)) for j, (_, w) in enumerate(bounds) if j in segments for r in radii if r <= w for c in combinations(range(w), r)]
     masks = spark.createDataFrame(pd.DataFrame(masks, columns=["segment", "radius", "mask"]), "segment int, radius int, mask long")
     probes = (
         asked.select(F.col("code").alias("asked"), F.col("segments").alias("own"), "bound", F.posexplode("segments").alias("segment", "value"))
@@ -154,22 +158,24 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, dims: int | None =
     entries = scratch.keep(entries.withColumn("segments", segmented), "entries")
     open_ = scratch.keep(coded.where("asks").select("code").distinct().withColumns({"segments": segmented, "bound": F.lit(None).cast("long")}), "asked")
     asking = open_.count()
-    best, radii = None, [0, 1]
+    best, radii, segments = None, [0, 1], range(len(bounds))
     while asking and k > 0:
-        probes = sum(comb(w, r) for _, w in bounds for r in radii)
+        probes = sum(comb(bounds[j][1], r) for j in segments for r in radii)
         scan = probes > PROBES * total or min(w for _, w in bounds) < radii[-1]
-        found = _scanned(entries, open_, total, asking, need * most, chunk, block) if scan else _probed(entries, open_, bounds, radii)
+        found = _scanned(entries, open_, total, asking, need * most, chunk, block) if scan else _probed(entries, open_, bounds, radii, segments)
         known = open_.select(F.col("code").alias("asked"))
         if best is not None and scan:
             best = best.join(known, "asked", "left_anti")  # the comparison finds theirs again
         best = scratch.keep(_nearest(found if best is None else best.unionByName(found), most, need), "best")
         if scan:
             break
-        covered = len(bounds) * (radii[-1] + 1) - 1
+        # a code that isn't found yet differs by more than the radius in the segments done, by the radius at least in the others
+        covered = len(bounds) * radii[-1] + segments.stop - 1
         kth = F.when(F.count(F.lit(1)) >= need, F.max("hamming")).alias("bound")
         reached = best.groupBy(F.col("asked").alias("code")).agg(kth)
         open_ = scratch.keep(open_.drop("bound").join(reached, "code", "left").where(F.col("bound").isNull() | (F.col("bound") > covered)), "asked")
-        asking, radii = open_.count(), [radii[-1] + 1]
+        asking, half = open_.count(), -(-len(bounds) // 2)
+        radii, segments = ([radii[-1] + 1], range(half)) if segments.stop == len(bounds) else (radii, range(segments.stop, len(bounds)))
     if best is None:
         best = coded.where(F.lit(False)).select(F.col("code").alias("asked"), "id", F.lit(0).cast("long").alias("hamming"))
     queries = coded.where("asks").select(F.col("id").alias("query_id"), F.col("code").alias("asked"))

@@ -2,7 +2,7 @@
 
 import pytest
 
-from pagelark.llm import ngram_join, secret_scan
+from pagelark.llm import ngram_join, queries, secret_scan, topk_hamming
 
 TOKEN = "aB3xK9qLm2Zt8Wp4"
 
@@ -32,3 +32,13 @@ def test_text_ids_join(spark):
     assert got == {"z9": (37, "a10", 2), "a10": (37, "a10", 2), "a2": (38, "a10", 2), "c": (1, "c", 0), None: (37, None, 0), "d": (0, "d", 0), "e": (0, "e", 0)}
     stay = ngram_join.representatives(docs, 4, 85, "name", "body")
     assert stay.columns == docs.columns and sorted(str(r["name"]) for r in stay.collect()) == ["None", "a10", "c", "d", "e"]
+
+
+def test_radii_close_every_query_of_the_given_tables(spark, monkeypatch):
+    """No query is answered by comparing it with all codes."""
+
+    def scanned(*_):
+        raise AssertionError("compared with all codes")
+
+    monkeypatch.setattr(topk_hamming, "_scanned", scanned)
+    assert queries.op10_topk_hamming(spark, "/root/testdata/sf0.01").count() == 50
