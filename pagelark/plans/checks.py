@@ -364,7 +364,7 @@ def statement_pages(customer: DataFrame) -> DataFrame:
     return placed.select("document_id", F.concat_ws(":", "document_id", F.lit("page"), page).alias("chunk_id"), page.alias("page"), F.lit("unknown").alias("section"), "text")
 
 
-RUNWAY_SQL = """
+CHAIN_SQL = """
 WITH c AS (SELECT c_custkey AS k, CAST(floor(abs(c_acctbal)) AS HUGEINT) AS cash, CAST(c_custkey * 7 + 1 AS HUGEINT) AS burn FROM customer),
 judged AS (
   SELECT k, CASE WHEN k % 10 = 1 THEN 'retriever_no_result' WHEN k % 10 = 0 THEN 'not_applicable' ELSE 'built' END AS agent_status,
@@ -379,7 +379,7 @@ FROM judged
 )"""
 
 
-@query(RUNWAY_SQL + "SELECT * FROM chain")
+@query(CHAIN_SQL + "SELECT * FROM chain")
 def runway_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search, extraction, risk building and verification over the pages of all customers.
 

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import isolation
+from ..operators import isolation, retrieval
 from ..sources import pages, stored
 from ..sources.scratch import shared_folder
 from . import analysis, checks, pipeline
-from .queries import query, table
+from .queries import LINES, line_chunks_of, query, table
 
 
 def _legal(request: dict) -> list[dict]:
@@ -41,7 +41,7 @@ def guarded_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    checks.RUNWAY_SQL
+    checks.CHAIN_SQL
     + """, tasks AS (
   SELECT CAST(c_custkey AS VARCHAR) AS task_id, c_custkey AS k, c_custkey % 500 = 7 AS bad FROM customer
 ), runway AS (
@@ -111,3 +111,26 @@ def inspected_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     files = docs.select(F.col("doc_id").cast("string").alias("path"), F.translate(F.coalesce("text", F.lit("")), "\n", "\f").cast("binary").alias("content"))
     return pages.inspect(files).select("document_id", "page_count", "is_text", "parser_status")
+
+
+#: Queries that are searched at once.
+WORDS = ("license", "apache", "copyright", "permission", "warranty", "software")
+
+
+@query(
+    LINES
+    + f""", hit AS (
+  SELECT q, chunk.*, strpos(lower(text), q) AS spot FROM chunk, (VALUES {", ".join(f"('{w}')" for w in WORDS)}) v(q) WHERE contains(lower(text), q)
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY q, document_id ORDER BY page, chunk_id) AS INTEGER) AS rank FROM hit
+)
+SELECT q AS query_id, document_id, rank, page, chunk_id, CAST(0.24 AS DOUBLE) AS relevance_score,
+       substring(text, greatest(spot - 450, 1), least(length(text), spot + length(q) - 1 + 450) - greatest(spot - 450, 1) + 1) AS text
+FROM ranked WHERE rank <= 3
+"""
+)
+def many_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several queries in one pass over all lines of all documents."""
+    prepared = retrieval.prepare(line_chunks_of(table(spark, sf_dir, "documents")))
+    found = retrieval.search_many(prepared, {w: w for w in WORDS}, limit=3)
+    return found.select("query_id", "document_id", "rank", "page", "chunk_id", F.round("relevance_score", 6).alias("relevance_score"), "text")

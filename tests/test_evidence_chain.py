@@ -185,3 +185,34 @@ def test_generic_ladder(spark):
 
 def test_requirement_table(spark):
     assert risks.requirements(spark).where("requires_calculation").count() == 4 and len(risks.ENABLED) == 8
+
+
+def test_many_queries_give_what_each_gives_alone(spark):
+    texts = ["cash and cash equivalents at end of year", "net cash used in operating activities", "license License li-cense", "", "現金及現金等價物 期末現金 ＣＡＳＨ and cash equi- valents", "經營活動所用現金淨額 (1,234)", "aa aaa", None]
+    prepared = retrieval.prepare(chunks_of(spark, *[t for t in texts if t is not None]))
+    asked = {"cash": "cash and cash equivalents", "flow": "經營活動所用現金淨額", "word": "license", "again": "License", "blank": "  ", "overlap": "aa", "none": "nothing of the kind"}
+    key = lambda r: (r["document_id"], r["rank"], r["chunk_id"], r["text"], r["relevance_score"], r["metadata"]["matched_keywords"], r["metadata"]["match_type"])
+    together = {}
+    for r in retrieval.search_many(prepared, asked, 4).collect():
+        together.setdefault(r["query_id"], []).append(key(r))
+    assert set(together) == {"cash", "flow", "word", "again", "overlap"}
+    for name, text in asked.items():
+        assert sorted(together.get(name, [])) == sorted(key(r) for r in retrieval.search(prepared, text, 4).collect())
+    assert retrieval.search_many(prepared, {}, 4).count() == 0
+
+
+def test_matching_forms_of_batches_equal_the_walk():
+    import random
+
+    from pagelark.functions import forms
+    from pagelark.functions.text import normal_form
+
+    rng = random.Random(2)
+    pool = "abXY 1\t\n　（），。ＡＢ１㎏½ﬁ現金é́ÅİßΣς·•…-_/()  가가😀𝔸"
+    texts = ["".join(rng.choice(pool) for _ in range(rng.randrange(0, 40))) for _ in range(5000)] + ["", " ", "-" * 50, "x" * 100_000]
+    forms.CHARACTERS, before = 500, forms.CHARACTERS
+    try:
+        got = [(form, places.tolist()) for form, places in forms.normal_forms(texts)]
+    finally:
+        forms.CHARACTERS = before
+    assert got == [normal_form(t) for t in texts]
