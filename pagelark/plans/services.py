@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import isolation, retrieval
-from ..sources import pages, stored
-from ..sources.scratch import shared_folder
+from ..sources import archives, pages, stored, tables
+from ..sources.scratch import Workspace, shared_folder
 from . import analysis, checks, pipeline
 from .queries import LINES, line_chunks_of, query, table
 
@@ -113,6 +113,60 @@ def inspected_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.inspect(files).select("document_id", "page_count", "is_text", "parser_status")
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's text without form feeds, as the bytes of a file; a null text is empty."""
+    text = F.translate(F.coalesce("text", F.lit("")), "\f", " ")
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("case_id"), text.cast("binary").alias("content"))
+
+
+@query(
+    """
+SELECT CAST(doc_id AS VARCHAR) AS case_id, CASE WHEN doc_id % 10 = 0 THEN NULL ELSE sha256(replace(coalesce(text, ''), chr(12), ' ')) END AS sha256,
+       CASE WHEN doc_id % 10 = 0 THEN 'member_missing' END AS failure_code
+FROM documents
+"""
+)
+def archived_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts packed into archives, one a task, and read back member by member; a tenth is asked for under a wrong name."""
+    scratch = Workspace(spark)
+    packed = scratch.keep(archives.write_archives(_texts(spark, sf_dir), f"{scratch.root}/archives"), "members")
+    gone = F.col("case_id").cast("long") % 10 == 0
+    found = archives.members(packed.withColumn("member", F.when(gone, "gone.txt").otherwise(F.col("member"))))
+    return found.select("case_id", F.sha2("content", 256).alias("sha256"), "failure_code")
+
+
+@query(
+    r"""
+SELECT CAST(doc_id AS VARCHAR) AS case_id, sha256(regexp_replace(replace(text, chr(12), ' '), '^\s+|\s+$', '', 'g')) AS sha256
+FROM documents WHERE regexp_matches(text, '[^\s]')
+"""
+)
+def ranged_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts bound into long documents, one a task, indexed by ranges of pages and read back by ranges."""
+    scratch = Workspace(spark)
+    bound = scratch.keep(archives.write_volumes(_texts(spark, sf_dir), f"{scratch.root}/volumes"), "pages")
+    index = scratch.keep(archives.page_index(bound.select("path"), width=32), "index")
+    found = archives.ranged_pages(index).where("error_code is null").select("document_id", "page", F.sha2("text", 256).alias("sha256"))
+    named = bound.select("case_id", "page", F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1).alias("document_id"))
+    return named.join(found, ["document_id", "page"]).select("case_id", "sha256")
+
+
+@query(
+    """
+SELECT CAST(o_orderkey AS VARCHAR) AS code, CAST(o_custkey AS VARCHAR) AS customer, strftime(o_orderdate, '%Y-%m-%d') AS day,
+       CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE concat('<', o_orderkey % 7, ' & "x">') END AS note
+FROM orders
+"""
+)
+def sheet_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders written as sheets of workbooks and read back; a third of the notes is blank."""
+    key, folder = F.col("o_orderkey"), shared_folder(spark)
+    note = F.when(key % 3 != 0, F.concat(F.lit("<"), (key % 7).cast("string"), F.lit(' & "x">')))
+    rows = table(spark, sf_dir, "orders").select(key.alias("code"), F.col("o_custkey").alias("customer"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), note.alias("note"))
+    written = Workspace(spark).keep(tables.write_sheets(rows, folder, "Orders"), "sheets")
+    return tables.sheets(written.select("path"), "Orders", ["code", "customer", "day", "note"])
+
+
 #: Queries that are searched at once.
 WORDS = ("license", "apache", "copyright", "permission", "warranty", "software")
 

@@ -7,11 +7,8 @@ in. Bad input gives rows with an error code, never an exception.
 
 from __future__ import annotations
 
-import io
 import re
-import zipfile
 from collections.abc import Callable, Iterator, Sequence
-from pathlib import PurePosixPath
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -213,30 +210,13 @@ def page_sample(count: Column) -> Column:
 
 
 def zip_members(archives: DataFrame, wanted: DataFrame) -> DataFrame:
-    """content of the wanted members; archives has path and content, wanted case_id, archive and member.
+    """content of the wanted members; archives has path, wanted case_id, archive and member.
 
-    A missing archive or member gives a failure_code instead.
+    A missing archive or member gives a failure_code instead. See archives.members for how they are read.
     """
-    named = archives.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("archive"), F.col("content").alias("_zip"))
+    from . import archives as reader  # that module builds on this one
 
-    def unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for case, archive, member, content in batch[["case_id", "archive", "member", "_zip"]].itertuples(index=False, name=None):
-                if content is None:
-                    out.append((case, archive, member, None, "archive_missing"))
-                    continue
-                try:
-                    with zipfile.ZipFile(io.BytesIO(content)) as z:
-                        inside = {PurePosixPath(n).name: n for n in z.namelist()} | {n: n for n in z.namelist()}
-                        found = inside.get(member)
-                        out.append((case, archive, member, z.read(found), None) if found else (case, archive, member, None, "member_missing"))
-                except zipfile.BadZipFile:
-                    out.append((case, archive, member, None, "archive_unreadable"))
-            yield pd.DataFrame(out, columns=["case_id", "archive", "member", "content", "failure_code"])
-
-    joined = wanted.select("case_id", "archive", "member").join(named, "archive", "left").select("case_id", "archive", "member", "_zip")
-    return joined.mapInPandas(unzip, "case_id string, archive string, member string, content binary, failure_code string")
+    return reader.zip_members(archives, wanted)
 
 
 def file_facts(files: DataFrame) -> DataFrame:
