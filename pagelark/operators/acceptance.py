@@ -1,7 +1,9 @@
 """Acceptance of a catalog and of a review sample: every failed check is a row, none hides another.
 
-Rules over single rows are a table of (check, passed); rules over the whole are counts against expected ones. Each gives
-rows of check and detail, and no rows mean that the catalog is accepted.
+Each table of a contract is scanned once. A row gives items: the rules that it breaks, its keys, its group, its part of a
+count. Items of one check and key are counted together, map-side first, so that all checks of all tables cost one shuffle;
+what was expected comes in as items of constants. Each check gives rows of check and detail, and no rows mean that the
+catalog is accepted.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .quality import attribute_differences, duplicates, key_differences, portable_path, quota_check, sha256_shape
+from .quality import portable_path, sha256_shape
 
 # Fixed values of the catalog contract.
 RELATIONS = (
@@ -23,46 +25,85 @@ SAMPLE_SPLITS = ("development", "validation")
 BLIND_YEAR, EXCLUDED_CODE, SPARSE_TAG = "2025", "02410", "low_text_density"
 
 
-def row_failures(rows: DataFrame, key: str, rules: Sequence[tuple[str, Column]]) -> DataFrame:
-    """check and detail (the key) of each rule that a row breaks; a null outcome breaks it."""
-    broken = F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules])
-    return rows.select(F.explode(F.filter(broken, lambda x: x.isNotNull())).alias("check"), F.col(key).cast("string").alias("detail"))
+#: Rows of one broken rule that are made at once from their count.
+REPEAT = 4096
+ITEM = "struct<kind:string,check:string,key:string,detail:string,side:int,value:struct<blank:boolean,text:string>,n:bigint,expected:bigint>"
 
 
-def count_failure(name: str, rows: DataFrame, expected: int) -> DataFrame:
-    """A row if the number of rows is another."""
-    found = rows.agg(F.count(F.lit(1)).alias("n")).where(F.col("n") != expected)
-    return found.select(F.lit(name).alias("check"), F.format_string(f"expected {expected}, got %d", "n").alias("detail"))
+def _item(kind: str, check: str, key: Column, detail: Column, side: int = 0, value: Column | None = None, n: int = 1, expected: int = 0) -> Column:
+    text = F.lit(None).cast("string") if value is None else value.cast("string")
+    held = F.struct(text.isNull().alias("blank"), text.alias("text"))
+    return F.struct(F.lit(kind), F.lit(check), key, detail, F.lit(side), held, F.lit(n), F.lit(expected)).cast(ITEM)
 
 
-def group_failures(name: str, rows: DataFrame, group: str, expected: Mapping[str, int]) -> DataFrame:
-    """A row for each group whose count is another than expected."""
-    wrong = quota_check(rows.withColumn(group, F.col(group).cast("string")), group, expected).where("not ok")
-    return wrong.select(F.lit(name).alias("check"), F.format_string("%s: expected %d, got %d", group, "expected", "actual").alias("detail"))
+def broken(key: str, rules: Sequence[tuple[str, Column]]) -> list[Column]:
+    """Rules that a row breaks, each a row with the key; a null outcome breaks a rule."""
+    name = F.col(key).cast("string")
+    return [F.when(~F.coalesce(ok, F.lit(False)), _item("broken", check, name, name)) for check, ok in rules]
 
 
-def repeated_keys(name: str, rows: DataFrame, *keys: str) -> DataFrame:
-    return duplicates(rows, *keys).select(F.lit(name).alias("check"), F.concat_ws("/", *[F.col(k).cast("string") for k in keys]).alias("detail"))
+def unique(check: str, *keys: str) -> Column:
+    """Keys that occur more than once, each a row."""
+    parts = [F.col(k).cast("string") for k in keys]
+    return _item("unique", check, F.to_json(F.array(*parts)), F.concat_ws("/", *parts) if len(parts) > 1 else parts[0])
 
 
-def aligned(name: str, left: DataFrame, right: DataFrame, key: str, attributes: Sequence[str] = ()) -> DataFrame:
-    """Keys that one side lacks, and keys whose attributes differ."""
-    lacking = key_differences(left, right, key).select(F.concat(F.lit(f"{name}_"), "side").alias("check"), F.col(key).cast("string").alias("detail"))
-    if not attributes:
-        return lacking
-    differing = attribute_differences(left, right, key, attributes)
-    return lacking.unionByName(differing.select(F.explode(F.transform("differing", lambda a: F.concat(F.lit(f"{name}_differs_"), a))).alias("check"), F.col(key).cast("string").alias("detail")))
+def group(check: str, name: str) -> Column:
+    """Groups whose count is another than expected."""
+    value = F.col(name).cast("string")
+    return _item("group", check, value, value)
 
 
-def together(*failures: DataFrame) -> DataFrame:
-    out = failures[0]
-    for more in failures[1:]:
-        out = out.unionByName(more)
-    return out
+def counted(check: str, only: Column | None = None, kind: str = "count") -> Column:
+    """The number of rows, or of those for which only holds, against the expected one; kind least: at least that many."""
+    item = _item(kind, check, F.lit(""), F.lit(""))
+    return item if only is None else F.when(only, item)
 
 
-def manifest_failures(manifest: DataFrame, years: Mapping[str, int]) -> DataFrame:
-    """Failures of a manifest by itself."""
+def aligned(check: str, side: int, key: str, attributes: Sequence[str] = ()) -> list[Column]:
+    """Keys that one of two sides (0 left, 1 right) lacks, and keys of both whose attributes differ.
+
+    Null keys are no one's partner. A repeated key fails once for an attribute, if any two of its values differ.
+    """
+    name = F.col(key).cast("string")
+    return [_item("key", check, name, name, side), *[_item("value", f"{check}_differs_{a}", name, name, side, F.col(a)) for a in attributes]]
+
+
+def judged(tables: Sequence[tuple[DataFrame, Sequence[Column]]], expected: Sequence[tuple[str, str, Mapping[str, int]]]) -> DataFrame:
+    """check and detail of all that fails. tables: each with the items of its rows; expected: kind, check and the count for
+    each key (the empty one for counts), so that what has no rows is judged too."""
+    wanted = [_item(kind, check, F.lit(key), F.lit(key), n=0, expected=int(n)) for kind, check, counts in expected for key, n in counts.items()]
+    sides = [df.select(F.explode(F.array_compact(F.array(*items))).alias("i")) for df, items in tables]
+    if wanted:
+        sides.append(tables[0][0].sparkSession.range(1).select(F.explode(F.array(*wanted)).alias("i")))
+    items = sides[0]
+    for more in sides[1:]:
+        items = items.unionAll(more)
+    n, side = F.sum("n"), lambda at: F.count_if(F.col("side") == at) > 0
+    tally = items.select("i.*").groupBy("kind", "check", "key", "detail").agg(
+        n.alias("n"), F.sum("expected").alias("expected"), side(0).alias("left"), side(1).alias("right"), (F.min("value") != F.max("value")).alias("differs")
+    )
+    kind, row = F.col("kind"), lambda check, detail: F.struct(check.alias("check"), detail.alias("detail"))
+    itself, off = row(F.col("check"), F.col("detail")), F.col("n") != F.col("expected")
+    paired = F.col("left") & F.col("right") & F.col("key").isNotNull()
+    alone = lambda has, which: F.when(F.col(has) & ~paired, row(F.concat("check", F.lit(which)), F.col("detail")))
+    found = (
+        F.when(kind == "unique", F.array(F.when(F.col("n") > 1, itself)))
+        .when(kind == "group", F.array(F.when(off, row(F.col("check"), F.format_string("%s: expected %d, got %d", "detail", "expected", "n")))))
+        .when(kind == "count", F.array(F.when(off, row(F.col("check"), F.format_string("expected %d, got %d", "expected", "n")))))
+        .when(kind == "least", F.array(F.when(F.col("n") < F.col("expected"), row(F.col("check"), F.col("n").cast("string")))))
+        .when(kind == "key", F.array(alone("left", "_left_only"), alone("right", "_right_only")))
+        .when(kind == "value", F.array(F.when(paired & F.col("differs"), itself)))
+    )
+    # a rule may be broken by any number of rows under one key, so their rows are made a few at a time
+    starts = F.when(kind == "broken", F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1, F.lit(REPEAT).cast("bigint"))).otherwise(F.array(F.lit(0).cast("bigint")))
+    few = tally.withColumn("_from", F.explode(starts))
+    rows = F.when(kind == "broken", F.array_repeat(itself, F.least(F.col("n") - F.col("_from"), F.lit(REPEAT)).cast("int"))).otherwise(F.array_compact(found))
+    return few.select(F.explode(rows).alias("f")).select("f.*")
+
+
+def _manifest(years: Mapping[str, int]) -> tuple[list[Column], list[tuple[str, str, Mapping[str, int]]]]:
+    """Items of a manifest's rows, and what is expected of them."""
     year = F.col("source_year").cast("string")
     rules = [
         ("non_portable_relative_path", portable_path(F.col("relative_path"))),
@@ -70,13 +111,14 @@ def manifest_failures(manifest: DataFrame, years: Mapping[str, int]) -> DataFram
         ("blind_year_escaped", (year != BLIND_YEAR) | (F.col("dataset_split") == "blind_test")),
         ("unexpected_parser_status", F.col("parser_status").isin(*PARSER_STATUSES)),
     ]
-    return together(
-        count_failure("manifest_rows", manifest, sum(years.values())),
-        group_failures("year_counts", manifest, "source_year", years),
-        repeated_keys("case_id_repeated", manifest, "case_id"),
-        repeated_keys("stock_code_raw_repeated", manifest, "stock_code_raw"),
-        row_failures(manifest, "case_id", rules),
-    )
+    items = [counted("manifest_rows"), group("year_counts", "source_year"), unique("case_id_repeated", "case_id"), unique("stock_code_raw_repeated", "stock_code_raw"), *broken("case_id", rules)]
+    return items, [("count", "manifest_rows", {"": sum(years.values())}), ("group", "year_counts", years)]
+
+
+def manifest_failures(manifest: DataFrame, years: Mapping[str, int]) -> DataFrame:
+    """Failures of a manifest by itself."""
+    items, expected = _manifest(years)
+    return judged([(manifest, items)], expected)
 
 
 def catalog_failures(manifest: DataFrame, coverage: DataFrame, splits: DataFrame, bridge: DataFrame, years: Mapping[str, int], workbook: str, statuses: Mapping[str, int]) -> DataFrame:
@@ -89,20 +131,17 @@ def catalog_failures(manifest: DataFrame, coverage: DataFrame, splits: DataFrame
         ("matched_row_lacks_listed_date", ~matched | (F.coalesce("official_listed_date", F.lit("")) != "")),
     ]
     blind = (F.col("source_year").cast("string") != BLIND_YEAR) | (F.col("is_blind_test") == "true")
-    exception = splits.where((F.col("stock_code_raw") == EXCLUDED_CODE) & (F.col("dataset_split") == "development_exception"))
-    return together(
-        manifest_failures(manifest, years),
-        aligned("coverage", manifest, coverage, "case_id", ["eod_available"]),
-        repeated_keys("coverage_repeated", coverage, "case_id"),
-        aligned("split", manifest, splits, "case_id", ["dataset_split"]),
-        repeated_keys("split_repeated", splits, "case_id"),
-        count_failure("development_exception", exception, 1),
-        row_failures(splits, "case_id", [("blind_year_not_marked", blind)]),
-        aligned("bridge", manifest, bridge, "case_id"),
-        repeated_keys("bridge_repeated", bridge, "case_id"),
-        group_failures("bridge_status_counts", bridge, "official_match_status", statuses),
-        row_failures(bridge, "case_id", bridge_rules),
-    )
+    exception = (F.col("stock_code_raw") == EXCLUDED_CODE) & (F.col("dataset_split") == "development_exception")
+    items, expected = _manifest(years)
+    eod, split = ("coverage", ["eod_available"]), ("split", ["dataset_split"])
+    side = lambda at, check, attributes=(): aligned(check, at, "case_id", attributes)
+    tables = [
+        (manifest, [*items, *side(0, *eod), *side(0, *split), *side(0, "bridge")]),
+        (coverage, [*side(1, *eod), unique("coverage_repeated", "case_id")]),
+        (splits, [*side(1, *split), unique("split_repeated", "case_id"), counted("development_exception", exception), *broken("case_id", [("blind_year_not_marked", blind)])]),
+        (bridge, [*side(1, "bridge"), unique("bridge_repeated", "case_id"), group("bridge_status_counts", "official_match_status"), *broken("case_id", bridge_rules)]),
+    ]
+    return judged(tables, [*expected, ("count", "development_exception", {"": 1}), ("group", "bridge_status_counts", statuses)])
 
 
 def sample_failures(sample: DataFrame, quotas: Mapping[str, int], manual: int, sparse: int) -> DataFrame:
@@ -112,16 +151,13 @@ def sample_failures(sample: DataFrame, quotas: Mapping[str, int], manual: int, s
         ("blind_year_in_sample", (year != BLIND_YEAR) & ~F.col("archive_filename").startswith(f"{BLIND_YEAR}_")),
         ("development_case_in_sample", F.col("stock_code_raw") != EXCLUDED_CODE),
     ]
-    few = sample.agg(F.count_if(F.array_contains(F.split("selection_tags", r"\|"), SPARSE_TAG)).alias("n")).where(F.col("n") < sparse)
-    return together(
-        count_failure("sample_rows", sample, sum(quotas.values())),
-        repeated_keys("case_id_repeated", sample, "case_id"),
-        repeated_keys("archive_source_repeated", sample, "archive_filename", "source_filename"),
-        group_failures("year_quotas", sample, "source_year", quotas),
-        count_failure("manual_reviews", sample.where("manual_review = 'true'"), manual),
-        row_failures(sample, "case_id", rules),
-        few.select(F.lit("too_few_sparse_documents").alias("check"), F.col("n").cast("string").alias("detail")),
-    )
+    items = [
+        counted("sample_rows"), unique("case_id_repeated", "case_id"), unique("archive_source_repeated", "archive_filename", "source_filename"), group("year_quotas", "source_year"),
+        counted("manual_reviews", F.col("manual_review") == "true"), *broken("case_id", rules),
+        counted("too_few_sparse_documents", F.array_contains(F.split("selection_tags", r"\|"), SPARSE_TAG), kind="least"),
+    ]
+    expected = [("count", "sample_rows", {"": sum(quotas.values())}), ("group", "year_quotas", quotas), ("count", "manual_reviews", {"": manual}), ("least", "too_few_sparse_documents", {"": sparse})]
+    return judged([(sample, items)], expected)
 
 
 def sample_alignment(sample: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -132,7 +168,7 @@ def sample_alignment(sample: DataFrame, manifest: DataFrame) -> DataFrame:
     keys = ["source_year", "stock_code_raw"]
     facts = ["source_filename", "stock_code_wind", "relative_path", "sha256", "dataset_split"]
     side = manifest.select(*keys, *[F.col(c).alias(f"_m_{c}") for c in facts], F.lit(True).alias("_there"))
-    one = sample.groupBy(*keys).agg(F.min(F.struct("case_id", "source_filename", "stock_code_wind")).alias("_s")).select(*keys, "_s.*")
+    one = sample.groupBy(*keys).agg(F.min(F.struct("case_id", "source_filename", "stock_code_wind")).alias("_s"), F.count(F.lit(1)).alias("_n")).select(*keys, "_n", "_s.*")
     found = one.join(side, keys, "left")
     there = F.coalesce("_there", F.lit(False))
     where_there = lambda ok: ~there | ok
@@ -145,7 +181,10 @@ def sample_alignment(sample: DataFrame, manifest: DataFrame) -> DataFrame:
         ("disallowed_split", where_there(F.col("_m_dataset_split").isin(*SAMPLE_SPLITS))),
         ("frozen_exclusion", where_there((F.col("source_year").cast("string") != BLIND_YEAR) & (F.col("stock_code_raw") != EXCLUDED_CODE))),
     ]
-    return together(repeated_keys("sample_key_repeated", sample, *keys), row_failures(found, "case_id", rules))
+    row = lambda check, detail: F.struct(F.lit(check).alias("check"), detail.alias("detail"))
+    failed = [F.when(~F.coalesce(ok, F.lit(False)), row(check, F.col("case_id").cast("string"))) for check, ok in rules]
+    repeated = F.when(F.col("_n") > 1, row("sample_key_repeated", F.concat_ws("/", *[F.col(k).cast("string") for k in keys])))
+    return found.select(F.explode(F.array_compact(F.array(repeated, *failed))).alias("f")).select("f.*")
 
 
 def batch_outcomes(cases: DataFrame, pages: DataFrame, case: str = "case_id") -> DataFrame:
