@@ -83,12 +83,19 @@ def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """The columns of docs for one row of each distinct text.
 
     Rows that repeat an id with equal text, or a text whose ids are all null, are all flagged by annotate; of these one
-    stays, chosen by a hash of the whole row. That step is taken only if some id is repeated.
+    stays, chosen by a hash of the whole row. Only ids, digests and hashes are grouped to find such texts; the rows
+    themselves are grouped only if they share a text and that hash with another flagged row.
     """
     stay = annotate(docs, id_col, text_col, keep, normalise).where("kept")
     repeated = docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
     if repeated.isEmpty():
         return stay.select(*docs.columns)
     row = F.struct(*docs.columns)
-    # aggregated map-side, so that a hot text sends one row for each map task
-    return stay.groupBy("text_sha256").agg(F.min_by(row, F.xxhash64(row.cast("string"))).alias("_row")).select("_row.*")
+    marked = stay.withColumn("_row", F.xxhash64(row.cast("string")))
+    several = marked.groupBy("text_sha256").agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_least")).where("_n > 1").drop("_n")
+    several = Workspace(docs.sparkSession).keep(several, "several")
+    # the side with the rows may hold a hot text, which adaptive execution splits
+    told = marked.join(several, "text_sha256", "left")
+    alone = told.where("_least is null").select(*docs.columns)
+    first = told.where("_row = _least").groupBy("text_sha256").agg(F.min_by(row, "_row").alias("_one"))
+    return alone.unionByName(first.select("_one.*"))

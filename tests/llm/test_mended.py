@@ -1,8 +1,9 @@
-"""Ids that are texts in the n-gram join, and the source forms that the secret lexer reads."""
+"""Ids that are texts in the n-gram join, source forms that the secret lexer reads, rows that are repeated often."""
 
 import pytest
+from pyspark.sql import functions as F
 
-from pagelark.llm import ngram_join, queries, secret_scan, topk_hamming
+from pagelark.llm import exact_dedup, ngram_join, queries, secret_scan, topk_hamming
 
 TOKEN = "aB3xK9qLm2Zt8Wp4"
 
@@ -42,3 +43,10 @@ def test_radii_close_every_query_of_the_given_tables(spark, monkeypatch):
 
     monkeypatch.setattr(topk_hamming, "_scanned", scanned)
     assert queries.op10_topk_hamming(spark, "/root/testdata/sf0.01").count() == 50
+
+
+def test_a_row_repeated_often_leaves_one(spark):
+    rows = spark.range(20_000).select(F.when(F.col("id") < 15_000, 7).otherwise(F.col("id")).alias("doc_id"), F.when(F.col("id") < 15_000, "Same text").otherwise(F.concat(F.lit("text "), F.col("id"))).alias("text"))
+    null_ids = spark.range(500).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("null "), (F.col("id") % 5)).alias("text"))
+    kept = exact_dedup.distinct_documents(rows.unionByName(null_ids).repartition(4)).cache()
+    assert kept.count() == 5_000 + 1 + 5 and kept.where("doc_id = 7").count() == 1 and kept.where("doc_id is null").select("text").distinct().count() == 5
