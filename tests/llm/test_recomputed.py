@@ -1,4 +1,4 @@
-"""Language vectors, clusters and predictions, computed again in plain Python."""
+"""Language vectors, clusters and predictions, and quality scores, computed again in plain Python."""
 
 import math
 import random
@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 
 from pagelark.llm import language_id as lang
+from pagelark.llm import quality_mil
 
 TEXTS = ["Hello, World 42!", "", "   ", "été à la plage -- déjà vu", "ÄÖÜ straße", "a", "漢字 and \U00010400\U0001F600 x", "aa aa  aa\naa", "Der Hund und die Katze", "El perro y el gato", "le chien et le chat"]
 
@@ -98,3 +99,41 @@ def test_predictions_are_the_nearest_centroids(spark):
     for text, predicted, score in zip(texts, found["lang_pred"], found["score"]):
         near = [cosine(unit(grams(text), model.idf.astype(float)), c) for c in centroids]
         assert score == pytest.approx(max(near), abs=1e-4) and predicted == model.languages[near.index(max(near))]
+
+
+def test_quality_scores_are_those_of_plain_gated_attention():
+    rng = np.random.default_rng(4)
+    labels = np.array([0.0, 1.0] * 20)
+    size = rng.integers(1, 6, 40)
+    bag = np.repeat(np.arange(40), size)
+    codes = rng.normal(0, 1, (len(bag), 7))
+    model = quality_mil.train(codes, bag, labels, epochs=3)
+    p = model.weights
+    sigmoid = lambda x: 1 / (1 + math.exp(-max(-30, min(30, x))))
+    through = lambda x, w: [sum(a * float(w[i, j]) for i, a in enumerate(x)) for j in range(w.shape[1])]
+    found = model.forward(codes, bag)
+    for doc in range(40):
+        hidden, logits = [], []
+        for code in codes[bag == doc]:
+            x = [max(-6, min(6, (float(c) - m) / s)) for c, m, s in zip(code, model.mean, model.scale)]
+            h = [math.tanh(a + b) for a, b in zip(through(x, p["w"]), p["b"])]
+            gated = [math.tanh(a) * sigmoid(b) for a, b in zip(through(h, p["v"]), through(h, p["u"]))]
+            hidden.append(h)
+            logits.append(sum(g * a for g, a in zip(gated, p["a"])))
+        total = sum(math.exp(e) for e in logits)
+        attention = [math.exp(e) / total for e in logits]
+        z = [sum(a * h[i] for a, h in zip(attention, hidden)) for i in range(len(hidden[0]))]
+        assert found["attention"][bag == doc] == pytest.approx(attention)
+        assert found["score"][doc] == pytest.approx(sigmoid(sum(a * c for a, c in zip(z, p["c"])) + float(p["c0"])))
+
+
+def test_training_lowers_the_loss():
+    rng = np.random.default_rng(6)
+    bag, labels = np.repeat(np.arange(60), 4), np.array([0.0, 1.0] * 30)
+    codes = rng.normal(0, 1, (240, 5))
+    codes[::4, 2] += 2 * labels
+    losses = []
+    for epochs in (1, 10, 40):
+        score = quality_mil.train(codes, bag, labels, epochs=epochs).forward(codes, bag)["score"]
+        losses.append(-np.mean(labels * np.log(score) + (1 - labels) * np.log(1 - score)))
+    assert losses == sorted(losses, reverse=True)
