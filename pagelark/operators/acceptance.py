@@ -2,7 +2,8 @@
 
 Each table of a contract is scanned once. A row gives items: the rules that it breaks, its keys, its group, its part of a
 count. Items of one check and key are counted together, map-side first, so that all checks of all tables cost one shuffle;
-what was expected comes in as items of constants. Each check gives rows of check and detail, and no rows mean that the
+what was expected comes in as items of constants. Most keys occur once, so a task holds about all items of its rows: rows are
+dealt out before they are made into items, lest a task's memory follow the size of a file's parts. Each check gives rows of check and detail, and no rows mean that the
 catalog is accepted.
 """
 
@@ -25,21 +26,25 @@ SAMPLE_SPLITS = ("development", "validation")
 BLIND_YEAR, EXCLUDED_CODE, SPARSE_TAG = "2025", "02410", "low_text_density"
 
 
+#: Tasks a core among which a table's rows are dealt out.
+SHARES = 4
 #: Rows of one broken rule that are made at once from their count.
 REPEAT = 4096
-ITEM = "struct<kind:string,check:string,key:string,detail:string,side:int,value:struct<blank:boolean,text:string>,n:bigint,expected:bigint>"
 
 
-def _item(kind: str, check: str, key: Column, detail: Column, side: int = 0, value: Column | None = None, n: int = 1, expected: int = 0) -> Column:
-    text = F.lit(None).cast("string") if value is None else value.cast("string")
+def _item(kind: str, check: str, key: Column, detail: Column | None = None, side: int = 0, value: Column | None = None, n: int = 1, expected: int = 0) -> Column:
+    """detail: what a failure shows; without one it is the key."""
+    none = F.lit(None).cast("string")
+    text = none if value is None else value.cast("string")
     held = F.struct(text.isNull().alias("blank"), text.alias("text"))
-    return F.struct(F.lit(kind), F.lit(check), key, detail, F.lit(side), held, F.lit(n), F.lit(expected)).cast(ITEM)
+    parts = {"kind": F.lit(kind), "check": F.lit(check), "key": key, "detail": none if detail is None else detail, "side": F.lit(side), "value": held, "n": F.lit(n).cast("bigint"), "expected": F.lit(expected).cast("bigint")}
+    return F.struct(*[part.alias(name) for name, part in parts.items()])
 
 
 def broken(key: str, rules: Sequence[tuple[str, Column]]) -> list[Column]:
     """Rules that a row breaks, each a row with the key; a null outcome breaks a rule."""
     name = F.col(key).cast("string")
-    return [F.when(~F.coalesce(ok, F.lit(False)), _item("broken", check, name, name)) for check, ok in rules]
+    return [F.when(~F.coalesce(ok, F.lit(False)), _item("broken", check, name)) for check, ok in rules]
 
 
 def unique(check: str, *keys: str) -> Column:
@@ -51,12 +56,12 @@ def unique(check: str, *keys: str) -> Column:
 def group(check: str, name: str) -> Column:
     """Groups whose count is another than expected."""
     value = F.col(name).cast("string")
-    return _item("group", check, value, value)
+    return _item("group", check, value)
 
 
 def counted(check: str, only: Column | None = None, kind: str = "count") -> Column:
     """The number of rows, or of those for which only holds, against the expected one; kind least: at least that many."""
-    item = _item(kind, check, F.lit(""), F.lit(""))
+    item = _item(kind, check, F.lit(""))
     return item if only is None else F.when(only, item)
 
 
@@ -66,23 +71,25 @@ def aligned(check: str, side: int, key: str, attributes: Sequence[str] = ()) ->
     Null keys are no one's partner. A repeated key fails once for an attribute, if any two of its values differ.
     """
     name = F.col(key).cast("string")
-    return [_item("key", check, name, name, side), *[_item("value", f"{check}_differs_{a}", name, name, side, F.col(a)) for a in attributes]]
+    return [_item("key", check, name, side=side), *[_item("value", f"{check}_differs_{a}", name, side=side, value=F.col(a)) for a in attributes]]
 
 
 def judged(tables: Sequence[tuple[DataFrame, Sequence[Column]]], expected: Sequence[tuple[str, str, Mapping[str, int]]]) -> DataFrame:
     """check and detail of all that fails. tables: each with the items of its rows; expected: kind, check and the count for
     each key (the empty one for counts), so that what has no rows is judged too."""
-    wanted = [_item(kind, check, F.lit(key), F.lit(key), n=0, expected=int(n)) for kind, check, counts in expected for key, n in counts.items()]
-    sides = [df.select(F.explode(F.array_compact(F.array(*items))).alias("i")) for df, items in tables]
+    wanted = [_item(kind, check, F.lit(key), n=0, expected=int(n)) for kind, check, counts in expected for key, n in counts.items()]
+    spark = tables[0][0].sparkSession
+    shares = SHARES * spark.sparkContext.defaultParallelism
+    sides = [df.repartition(shares).select(F.explode(F.array_compact(F.array(*items))).alias("i")) for df, items in tables]
     if wanted:
-        sides.append(tables[0][0].sparkSession.range(1).select(F.explode(F.array(*wanted)).alias("i")))
+        sides.append(spark.range(1).select(F.explode(F.array(*wanted)).alias("i")))
     items = sides[0]
     for more in sides[1:]:
         items = items.unionAll(more)
     n, side = F.sum("n"), lambda at: F.count_if(F.col("side") == at) > 0
     tally = items.select("i.*").groupBy("kind", "check", "key", "detail").agg(
         n.alias("n"), F.sum("expected").alias("expected"), side(0).alias("left"), side(1).alias("right"), (F.min("value") != F.max("value")).alias("differs")
-    )
+    ).withColumn("detail", F.when(F.col("kind") == "unique", F.col("detail")).otherwise(F.col("key")))
     kind, row = F.col("kind"), lambda check, detail: F.struct(check.alias("check"), detail.alias("detail"))
     itself, off = row(F.col("check"), F.col("detail")), F.col("n") != F.col("expected")
     paired = F.col("left") & F.col("right") & F.col("key").isNotNull()

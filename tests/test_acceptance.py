@@ -50,3 +50,11 @@ def test_each_table_is_scanned_once(spark, tmp_path):
     tables = [spark.read.parquet(str(tmp_path / "t")) for _ in range(4)]
     plan = a.catalog_failures(*tables, {"2024": 1}, "w.xlsx", {"matched": 1})._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan parquet") == 4 and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_rows_of_one_task_are_dealt_out(spark):
+    rows = spark.range(0, 20_000, 1, 1).select(F.col("id").cast("string").alias("k"))
+    where = F.concat(F.lit("task "), F.spark_partition_id())
+    found = a.judged([(rows, [F.when(F.spark_partition_id() >= 0, a._item("group", "rows", where))])], [])
+    held = [int(r.detail.rsplit(" ", 1)[1]) for r in found.collect()]
+    assert sum(held) == 20_000 and max(held) <= 20_000 // (a.SHARES * 4) * 1.2
