@@ -46,3 +46,15 @@ def test_common_letters_need_no_python(spark, monkeypatch):
     monkeypatch.setattr(forms, "_normalise_batches", never)
     got = spark.createDataFrame([("Ééaux ÑÜß",), ("綜合現金流量表 (1)",)], "t string").select(forms.normalise(F.col("t")))
     assert [r[0] for r in got.collect()] == ["ééaux ñüß", "綜合現金流量表 1"]
+
+
+def test_lines_without_a_year_are_not_scanned_for_dates(monkeypatch):
+    from pagelark.functions import periods
+
+    class Never:
+        def search(self, *_):
+            raise AssertionError("scanned")
+
+    assert [d.year for d in periods.dates_in("31 December 2023, 2024-06-30")] == [2023, 2024]
+    monkeypatch.setattr(periods, "_DATE", Never())
+    assert periods.read_header(["(219,053)", "人民幣千元", "nothing of the kind"]) == ([], [])
