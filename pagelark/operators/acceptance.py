@@ -3,8 +3,9 @@
 Each table of a contract is scanned once. A row gives items: the rules that it breaks, its keys, its group, its part of a
 count. Items of one check and key are counted together, map-side first, so that all checks of all tables cost one shuffle;
 what was expected comes in as items of constants. Most keys occur once, so a task holds about all items of its rows: rows are
-dealt out before they are made into items, lest a task's memory follow the size of a file's parts. Each check gives rows of check and detail, and no rows mean that the
-catalog is accepted.
+dealt out by a hash before they are made into items, lest a task's memory follow the size of a file's parts. Only where
+attributes are compared do values have to be sorted; else a key costs a few counters. Each check gives rows of check and
+detail, and no rows mean that the catalog is accepted.
 """
 
 from __future__ import annotations
@@ -17,6 +18,13 @@ from pyspark.sql import functions as F
 from .quality import portable_path, sha256_shape
 
 # Fixed values of the catalog contract.
+MANIFEST = ("case_id", "stock_code_raw", "source_year", "relative_path", "sha256", "dataset_split", "parser_status")
+COVERAGE = ("case_id", "eod_available")
+SPLITS = ("case_id", "stock_code_raw", "source_year", "dataset_split", "is_blind_test")
+BRIDGE = (
+    "case_id", "source_workbook", "source_workbook_sha256", "listed_date_eod_relation", "official_match_status", "official_listed_date",
+)
+SAMPLE = ("case_id", "stock_code_raw", "source_year", "archive_filename", "source_filename", "manual_review", "selection_tags")
 RELATIONS = (
     "not_applicable_unmatched", "not_comparable_missing_listed_date", "no_eod_coverage", "eod_starts_on_listed_date",
     "eod_starts_after_listed_date", "eod_starts_before_listed_date",
@@ -30,14 +38,14 @@ BLIND_YEAR, EXCLUDED_CODE, SPARSE_TAG = "2025", "02410", "low_text_density"
 SHARES = 4
 #: Rows of one broken rule that are made at once from their count.
 REPEAT = 4096
+#: An attribute's value; null is a value too.
+VALUE = "struct<blank:boolean,text:string>"
 
 
 def _item(kind: str, check: str, key: Column, detail: Column | None = None, side: int = 0, value: Column | None = None, n: int = 1, expected: int = 0) -> Column:
     """detail: what a failure shows; without one it is the key."""
-    none = F.lit(None).cast("string")
-    text = none if value is None else value.cast("string")
-    held = F.struct(text.isNull().alias("blank"), text.alias("text"))
-    parts = {"kind": F.lit(kind), "check": F.lit(check), "key": key, "detail": none if detail is None else detail, "side": F.lit(side), "value": held, "n": F.lit(n).cast("bigint"), "expected": F.lit(expected).cast("bigint")}
+    held = F.lit(None).cast(VALUE) if value is None else F.struct(value.isNull().alias("blank"), value.cast("string").alias("text"))
+    parts = {"kind": F.lit(kind), "check": F.lit(check), "key": key, "detail": F.lit(None).cast("string") if detail is None else detail, "side": F.lit(side), "value": held, "n": F.lit(n).cast("bigint"), "expected": F.lit(expected).cast("bigint")}
     return F.struct(*[part.alias(name) for name, part in parts.items()])
 
 
@@ -50,7 +58,7 @@ def broken(key: str, rules: Sequence[tuple[str, Column]]) -> list[Column]:
 def unique(check: str, *keys: str) -> Column:
     """Keys that occur more than once, each a row."""
     parts = [F.col(k).cast("string") for k in keys]
-    return _item("unique", check, F.to_json(F.array(*parts)), F.concat_ws("/", *parts) if len(parts) > 1 else parts[0])
+    return _item("unique", check, F.to_json(F.array(*parts)), F.concat_ws("/", *parts)) if len(parts) > 1 else _item("unique", check, parts[0])
 
 
 def group(check: str, name: str) -> Column:
@@ -74,22 +82,37 @@ def aligned(check: str, side: int, key: str, attributes: Sequence[str] = ()) ->
     return [_item("key", check, name, side=side), *[_item("value", f"{check}_differs_{a}", name, side=side, value=F.col(a)) for a in attributes]]
 
 
+def _dealt(df: DataFrame, shares: int) -> DataFrame:
+    """Rows dealt out by their columns and the part that they come from, so that a task run again deals them alike.
+
+    Unlike repartition(shares) it sorts no part first. Copies of one row spread as their parts do.
+    """
+    place = F.pmod(F.xxhash64(F.spark_partition_id(), *df.columns), F.lit(shares)).cast("int")
+    return df.withColumn("_share", place).repartitionById(shares, "_share")
+
+
+def _valued(df: DataFrame, items: Sequence[Column]) -> bool:
+    """Whether any item carries an attribute's value, which its type tells; no job runs."""
+    return any(not item.dataType["value"].nullable for item in df.select(*items).schema)
+
+
 def judged(tables: Sequence[tuple[DataFrame, Sequence[Column]]], expected: Sequence[tuple[str, str, Mapping[str, int]]]) -> DataFrame:
     """check and detail of all that fails. tables: each with the items of its rows; expected: kind, check and the count for
     each key (the empty one for counts), so that what has no rows is judged too."""
     wanted = [_item(kind, check, F.lit(key), n=0, expected=int(n)) for kind, check, counts in expected for key, n in counts.items()]
     spark = tables[0][0].sparkSession
     shares = SHARES * spark.sparkContext.defaultParallelism
-    sides = [df.repartition(shares).select(F.explode(F.array_compact(F.array(*items))).alias("i")) for df, items in tables]
+    sides = [_dealt(df, shares).select(F.explode(F.array_compact(F.array(*items))).alias("i")) for df, items in tables]
     if wanted:
         sides.append(spark.range(1).select(F.explode(F.array(*wanted)).alias("i")))
     items = sides[0]
     for more in sides[1:]:
         items = items.unionAll(more)
     n, side = F.sum("n"), lambda at: F.count_if(F.col("side") == at) > 0
+    differs = F.min("value") != F.max("value") if any(_valued(*t) for t in tables) else F.lit(False)
     tally = items.select("i.*").groupBy("kind", "check", "key", "detail").agg(
-        n.alias("n"), F.sum("expected").alias("expected"), side(0).alias("left"), side(1).alias("right"), (F.min("value") != F.max("value")).alias("differs")
-    ).withColumn("detail", F.when(F.col("kind") == "unique", F.col("detail")).otherwise(F.col("key")))
+        n.alias("n"), F.sum("expected").alias("expected"), side(0).alias("left"), side(1).alias("right"), differs.alias("differs")
+    ).withColumn("detail", F.coalesce("detail", "key"))
     kind, row = F.col("kind"), lambda check, detail: F.struct(check.alias("check"), detail.alias("detail"))
     itself, off = row(F.col("check"), F.col("detail")), F.col("n") != F.col("expected")
     paired = F.col("left") & F.col("right") & F.col("key").isNotNull()
@@ -125,7 +148,7 @@ def _manifest(years: Mapping[str, int]) -> tuple[list[Column], list[tuple[str, s
 def manifest_failures(manifest: DataFrame, years: Mapping[str, int]) -> DataFrame:
     """Failures of a manifest by itself."""
     items, expected = _manifest(years)
-    return judged([(manifest, items)], expected)
+    return judged([(manifest.select(*MANIFEST), items)], expected)
 
 
 def catalog_failures(manifest: DataFrame, coverage: DataFrame, splits: DataFrame, bridge: DataFrame, years: Mapping[str, int], workbook: str, statuses: Mapping[str, int]) -> DataFrame:
@@ -143,10 +166,10 @@ def catalog_failures(manifest: DataFrame, coverage: DataFrame, splits: DataFrame
     eod, split = ("coverage", ["eod_available"]), ("split", ["dataset_split"])
     side = lambda at, check, attributes=(): aligned(check, at, "case_id", attributes)
     tables = [
-        (manifest, [*items, *side(0, *eod), *side(0, *split), *side(0, "bridge")]),
-        (coverage, [*side(1, *eod), unique("coverage_repeated", "case_id")]),
-        (splits, [*side(1, *split), unique("split_repeated", "case_id"), counted("development_exception", exception), *broken("case_id", [("blind_year_not_marked", blind)])]),
-        (bridge, [*side(1, "bridge"), unique("bridge_repeated", "case_id"), group("bridge_status_counts", "official_match_status"), *broken("case_id", bridge_rules)]),
+        (manifest.select(*MANIFEST, "eod_available"), [*items, *side(0, *eod), *side(0, *split), *side(0, "bridge")]),
+        (coverage.select(*COVERAGE), [*side(1, *eod), unique("coverage_repeated", "case_id")]),
+        (splits.select(*SPLITS), [*side(1, *split), unique("split_repeated", "case_id"), counted("development_exception", exception), *broken("case_id", [("blind_year_not_marked", blind)])]),
+        (bridge.select(*BRIDGE), [*side(1, "bridge"), unique("bridge_repeated", "case_id"), group("bridge_status_counts", "official_match_status"), *broken("case_id", bridge_rules)]),
     ]
     return judged(tables, [*expected, ("count", "development_exception", {"": 1}), ("group", "bridge_status_counts", statuses)])
 
@@ -164,7 +187,7 @@ def sample_failures(sample: DataFrame, quotas: Mapping[str, int], manual: int, s
         counted("too_few_sparse_documents", F.array_contains(F.split("selection_tags", r"\|"), SPARSE_TAG), kind="least"),
     ]
     expected = [("count", "sample_rows", {"": sum(quotas.values())}), ("group", "year_quotas", quotas), ("count", "manual_reviews", {"": manual}), ("least", "too_few_sparse_documents", {"": sparse})]
-    return judged([(sample, items)], expected)
+    return judged([(sample.select(*SAMPLE), items)], expected)
 
 
 def sample_alignment(sample: DataFrame, manifest: DataFrame) -> DataFrame:

@@ -58,3 +58,27 @@ def test_rows_of_one_task_are_dealt_out(spark):
     found = a.judged([(rows, [F.when(F.spark_partition_id() >= 0, a._item("group", "rows", where))])], [])
     held = [int(r.detail.rsplit(" ", 1)[1]) for r in found.collect()]
     assert sum(held) == 20_000 and max(held) <= 20_000 // (a.SHARES * 4) * 1.2
+
+
+def test_a_manifest_is_judged_without_sorting(spark):
+    manifest = spark.createDataFrame([], ", ".join(f"{n} string" for n in [*a.MANIFEST, "unused"]))
+    plan = a.manifest_failures(manifest, {"2024": 1})._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "RoundRobin" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_rows_are_dealt_alike_in_any_order_and_copies_spread_by_part(spark):
+    rows = spark.range(0, 4_000, 1, 8).select(F.col("id").cast("string").alias("k"), (F.col("id") % 500).alias("at"))
+    dealt = lambda df: sorted((r.k, r.share) for r in a._dealt(df, 16).select("k", F.spark_partition_id().alias("share")).collect())
+    there = dealt(rows.sortWithinPartitions("at"))
+    assert len(there) == 4_000 and there == dealt(rows.sortWithinPartitions(F.desc("at")))
+    copies = spark.range(0, 8_000, 1, 8).select(F.lit("same").alias("k"))
+    held = a._dealt(copies, 16).groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in held) == 8_000 and len(held) > 2
+
+
+@pytest.mark.parametrize("values", [["p", "q"], ["p", None], [None, None], ["p", "p"]])
+def test_attributes_are_compared_whole_beside_items_without_one(spark, values):
+    left = spark.createDataFrame([("1", values[0])], "k string, v string")
+    right = spark.createDataFrame([("1", values[1])], "k string, v string")
+    found = a.judged([(left, [a.unique("unique", "k"), F.when(F.col("k") == "1", a.aligned("side", 0, "k", ["v"])[1]), a.aligned("side", 0, "k")[0]]), (right, a.aligned("side", 1, "k", ["v"]))], [])
+    assert [tuple(r) for r in found.collect()] == [("side_differs_v", "1")] * (values[0] != values[1])
