@@ -6,23 +6,34 @@ union, which bounds their symmetric difference by D = (100 - t)(k + l) / (100 +
 Filter. Sizes fall into bands. For the pairs whose smaller set lies in a band, every n-gram is hashed to one of m
 segments, m a little above the largest D of the band. A set gives each segment a number of units v from 0 to 2 with a
 sum above its D: if two linked sets differed by v or more in every segment, they would differ by more than D in all. So
-in some segment they are equal (v = 1) or one n-gram apart (v = 2). Every set is listed under the signature of each of
-its segments, and in the few reserve segments also under those of its one-deletion neighbours, where v = 2 may be given.
+in some segment they are equal (v = 1) or one n-gram apart (v = 2). A set has a signature for each of its segments, and in
+the few reserve segments also those of its one-deletion neighbours, where v = 2 may be given.
 The units go to the cheapest signatures: a signature costs about as many entries as its rarest n-gram, by counts over
 all documents in CELLS cells, and an empty segment costs most. Segments of widespread passages are thereby left out.
 
+Listing. A set is listed only where it gives units. Of two linked sets take the one whose dearest unit is the cheaper, by
+(cost, place). Where it meets the other the two have a signature in common, and what this costs the other set is no more
+than what the first one gave: an equal segment costs both the same; the rarest n-gram of a set without one of its n-grams
+is at most the second rarest of the whole; and one n-gram more only makes the second rarest rarer. So the other set gives
+units there as well, and both are listed under it. The entries are shuffled once, to find the smallest id of each bucket;
+signatures are cut to 48 bits for that, since what shares one is verified anyway.
+Where CROWD or more sets of a portion of a few hundred share a signature, they have a bucket of their own and only the
+smallest of them stands for them in the common one, so that a bucket has at most as many rows as there are portions.
+
 Verification. Sets that share a bucket, through the smallest id in it, form candidate clusters. Within a cluster exact
-intersections are computed in blocks of at most about BLOCK sets, so a group never holds more than two blocks and pairs
-never become rows. Blocks of a large cluster are cut by set size first, in steps of the largest ratio that linked sets can
-have, and a block meets those of its own and the next step only; so a chain of sets of many sizes that a widespread passage
-holds together doesn't meet itself as a whole. Out come link counts, and of each group a spanning forest of its links; their components are the
-result.
+intersections are computed in blocks of about BLOCK sets, or up to WIDER times as many while they have no more than
+BLOCK_TOKENS n-grams, so a group never holds more than two blocks and pairs never become rows. A set of a large cluster is
+shuffled once for each block that it meets; the larger the blocks, the fewer. Blocks of a large cluster are cut by set size
+first, in steps of the largest ratio that linked sets can have, and a block meets those of its own and the next step only;
+so a chain of sets of many sizes that a widespread passage holds together doesn't meet itself as a whole. Out come link
+counts, and of each group a spanning forest of its links; their components are the result.
 
 Copies are collapsed at first: equal sets are a class, represented by its smallest id, or, where some id has different
-texts, by 64 bits of its digest, with one text of its smallest id. Hot groups: classes and buckets are
-aggregated with map-side combine; the two joins back to the documents and to the signatures have one row for each key on
-the other side, so that adaptive execution can split a hot key's rows; a large cluster is dealt as pairs of blocks. What
-is broadcast has a fixed size: CELLS counts and a filter of FILTER_WORDS x 64 bits that tells which texts to read again.
+texts, by 64 bits of its digest, with one text of its smallest id. Hot groups: classes are
+aggregated with map-side combine, buckets are crowded at most as told above; the join back to the documents has one row for
+each key on the other side, so that adaptive execution can split a hot key's rows; a large cluster is dealt as pairs of
+blocks. What is broadcast has a fixed size: CELLS counts and filters of FILTER_WORDS x 64 bits that tell which texts to read
+again, and which documents may be dropped: `representatives` shuffles only those.
 
 N-grams are 64-bit hashes (tabulation by character and place, finalised): two different n-grams are taken for one with
 a chance of 2^-64 a pair. Links are exact up to that.
@@ -42,7 +53,7 @@ from math import log
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,6 +63,11 @@ from .components import connected
 CELLS = 1 << 17
 FILTER_WORDS = 1 << 16
 BLOCK = 256
+WIDER = 4
+BLOCK_TOKENS = 1 << 19
+#: Sets under one signature that have a bucket of their own, and entries among which they are looked for.
+CROWD = 16
+PORTION = 200_000
 BAND = 1.6
 SLACK = 1.15
 RESERVE = 2
@@ -179,7 +195,7 @@ class Bands:
 
 
 def signatures(tokens: np.ndarray, bands: Bands, cells: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(keys, whether the set asks there) for each band of a set."""
+    """(keys, whether the set gives units there) for each band of a set."""
     if not len(tokens):
         return
     rarity = cells[tokens >> U(64 - (CELLS.bit_length() - 1))]
@@ -232,11 +248,29 @@ def _described(n: int):
     return describe
 
 
+def uncrowded(keys: np.ndarray, ids: np.ndarray, crowd: int = CROWD) -> tuple[np.ndarray, np.ndarray]:
+    """The entries, those of crowded keys under keys of their own, but for the smallest id, which also stays under the key."""
+    order = np.argsort(keys, kind="stable")
+    keys, ids = keys[order], ids[order]
+    starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    held = np.diff(np.append(starts, len(keys)))
+    full = held >= crowd
+    if not full.any():
+        return keys, ids
+    least = np.minimum.reduceat(ids, starts)
+    own = finalised(keys[starts] ^ finalised(least.view(np.uint64)))
+    return np.concatenate((np.where(np.repeat(full, held), np.repeat(own, held), keys), keys[starts[full]])), np.concatenate((ids, least[full]))
+
+
 def _listed(n: int, percent: int, cells, by_class: bool):
+    def entries(keys: list[np.ndarray], ids: list[np.ndarray]) -> pd.DataFrame:
+        key, doc = uncrowded(np.concatenate(keys), np.concatenate(ids))
+        return pd.DataFrame({"key": (key >> U(16)).view(np.int64), "id": doc})
+
     def list_signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bands, frequent, met = Bands(percent), cells.value, set()
+        keys, ids, held = [], [], 0
         for batch in batches:
-            keys, ids, asks, held = [], [], [], 0
             for doc, tokens in zip(batch["id"].tolist(), ngram_sets(batch["text"], n)):
                 digest = (len(tokens), int(tokens.sum(dtype=np.uint64)), int((tokens * tokens).sum(dtype=np.uint64)))
                 if digest in met:  # a copy within the partition is found through its class
@@ -245,28 +279,28 @@ def _listed(n: int, percent: int, cells, by_class: bool):
                 if by_class:
                     two = finalised(tokens * U(0xE7037ED1A0B428DB)).sum(dtype=np.uint64)
                     doc = class_name(*(np.array([x], np.uint64) for x in (len(tokens), tokens.sum(dtype=np.uint64), two)))[0]
-                for k, a in signatures(tokens, bands, frequent):
-                    keys.append(k)
-                    asks.append(a)
-                    ids.append(np.full(len(k), doc, np.int64))
-                    held += len(k)
-                if held > 200_000:
-                    yield pd.DataFrame({"key": np.concatenate(keys).view(np.int64), "id": np.concatenate(ids), "asks": np.concatenate(asks)})
-                    keys, ids, asks, held = [], [], [], 0
-            if keys:
-                yield pd.DataFrame({"key": np.concatenate(keys).view(np.int64), "id": np.concatenate(ids), "asks": np.concatenate(asks)})
+                for k, gives in signatures(tokens, bands, frequent):
+                    keys.append(k[gives])
+                    ids.append(np.full(len(keys[-1]), doc, np.int64))
+                    held += len(keys[-1])
+                if held > PORTION:
+                    yield entries(keys, ids)
+                    keys, ids, held = [], [], 0
+        if keys:
+            yield entries(keys, ids)
 
     return list_signatures
 
 
-def linked_pairs(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places (i < j) of the linked pairs of a block."""
+def linked_pairs(sets: list[np.ndarray], percent: int, first: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i < j) of the linked pairs of a block; or only of those between the places before `first` and the others."""
     size = np.array([len(s) for s in sets])
+    left, right = (len(sets), 0) if first is None else (first, first)
     if len(sets) <= 6:
         hits = [
             (i, j)
-            for j in range(len(sets))
-            for i in range(j)
+            for j in range(right, len(sets))
+            for i in range(min(j, left))
             if 100 * min(size[i], size[j]) >= percent * max(size[i], size[j])
             and (both := len(np.intersect1d(sets[i], sets[j], assume_unique=True)))
             and 100 * both >= percent * (size[i] + size[j] - both)
@@ -274,9 +308,11 @@ def linked_pairs(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.n
         return np.array([h[0] for h in hits], np.int64), np.array([h[1] for h in hits], np.int64)
     values, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     row = np.repeat(np.arange(len(sets)), size)
-    shared = times[column] > 1
-    row, column = row[shared], (np.cumsum(times > 1) - 1)[column[shared]]
-    both = np.zeros((len(sets), len(sets)), np.float32)
+    before = times - 1 if first is None else np.bincount(column[row < first], minlength=len(values))
+    wanted = (before > 0) & (times > before)
+    shared = wanted[column]
+    row, column = row[shared], (np.cumsum(wanted) - 1)[column[shared]]
+    both = np.zeros((left, len(sets) - right), np.float32)
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
     width = 4096
@@ -284,10 +320,11 @@ def linked_pairs(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.n
         lo, hi = np.searchsorted(column, (a, a + width))
         present = np.zeros((len(sets), width), np.float32)
         present[row[lo:hi], column[lo:hi] - a] = 1
-        both += present @ present.T
+        both += present[:left] @ present[right:].T
     both = np.rint(both).astype(np.int64)
-    link = (both > 0) & (100 * both >= percent * (size[:, None] + size[None, :] - both))
-    return np.nonzero(np.triu(link, 1))
+    link = (both > 0) & (100 * both >= percent * (size[:left, None] + size[None, right:] - both))
+    i, j = np.nonzero(np.triu(link, 1) if first is None else link)
+    return i, j + right
 
 
 def _verified(percent: int):
@@ -295,13 +332,11 @@ def _verified(percent: int):
         """Spanning forest (a, b, 0) and weighted link counts (a, a, links) of a group."""
         out_a, out_b, out_n = [], [], []
         for _, part in group.groupby("cluster", sort=True):
-            part = part.sort_values("id")
+            part = part.sort_values(["block", "id"])
             ids, block, weight = part["id"].to_numpy(), part["block"].to_numpy(), part["weight"].to_numpy()
-            i, j = linked_pairs([np.frombuffer(t, np.uint64) for t in part["tokens"]], percent)
             # of a pair of blocks only what lies across is new; each block alone is a pair with itself
-            if part["i"].iloc[0] != part["j"].iloc[0]:
-                across = block[i] != block[j]
-                i, j = i[across], j[across]
+            first = None if part["i"].iloc[0] == part["j"].iloc[0] else int(np.searchsorted(block, block[0], "right"))
+            i, j = linked_pairs([np.frombuffer(t, np.uint64) for t in part["tokens"]], percent, first)
             if not len(i):
                 continue
             links = np.bincount(i, weight[j], len(ids)) + np.bincount(j, weight[i], len(ids))
@@ -341,6 +376,24 @@ def _with_tokens(n: int):
     return add_tokens
 
 
+def _place(value: Column, cells: int) -> Column:
+    return F.pmod(F.xxhash64(value, F.lit("filter")), F.lit(cells))
+
+
+def _word(value: Column) -> Column:
+    """The word of a filter in which a value has its bit."""
+    return F.floor(_place(value, FILTER_WORDS * 64) / 64).cast("int")
+
+
+def _filtered(df: DataFrame, value: Column, values: DataFrame, name: str) -> DataFrame:
+    """df with _inside: true for every value that the other column holds, rarely for another; FILTER_WORDS words are broadcast."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), _place(F.col(name), 64).cast("int"))
+    words = values.groupBy(_word(F.col(name)).alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+    joined = df.withColumn("_key", _word(value)).join(F.broadcast(words), F.col("_key") == F.col("_word"), "left")
+    inside = F.call_function("getbit", F.col("_bits"), _place(value, 64).cast("int")) == 1
+    return joined.withColumn("_inside", F.coalesce(inside, F.lit(False))).drop("_key", "_word", "_bits")
+
+
 def components(docs: DataFrame, ngram: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: the id, n_shingles, component_id, n_links."""
     spark = docs.sparkSession
@@ -363,20 +416,10 @@ def components(docs: DataFrame, ngram: int = 5, percent: int = 80, id_col: str =
     named = [F.min("name").alias("rep"), F.min_by("mark", F.struct("id", "mark")).alias("mark")] if by_class else [F.min("id").alias("rep")]
     classes = scratch.keep(filled.groupBy(*by_set).agg(*named, F.min("id").alias("least"), F.count(F.lit(1)).alias("weight")), "classes")
 
-    # buckets with more than one document, at least one of which asks there
-    listed = texts.where("known").select("id", "text").mapInPandas(
-        _listed(ngram, percent, spark.sparkContext.broadcast(counts), by_class), "key long, id long, asks boolean"
-    )
-    once, asking = 1, 1 << 40
-    buckets = (
-        listed.groupBy("key")
-        .agg(F.min("id").alias("center"), F.sum(F.when(F.col("asks"), asking + once).otherwise(once).cast("long")).alias("mark"))
-        .where((F.col("mark") >= asking) & (F.col("mark") % asking > 1))
-        .select("key", "center")
-    )
-    near = scratch.keep(
-        listed.select("key", "id").join(buckets, "key").where("id <> center").groupBy("center", "id").agg(F.count(F.lit(1)).alias("shared")), "near"
-    )
+    # each entry's bucket is named by the smallest id in it
+    listed = texts.where("known").select("id", "text").mapInPandas(_listed(ngram, percent, spark.sparkContext.broadcast(counts), by_class), "key long, id long")
+    met = listed.select("id", F.min("id").over(Window.partitionBy("key")).alias("center")).where("id <> center")
+    near = scratch.keep(met.select("center", "id").distinct(), "near")
     rep_of = classes.select(F.col("rep").alias("id"), "rep") if by_class else filled.join(classes, by_set).select("id", "rep")
     edges = (
         near.join(rep_of, "id")
@@ -396,20 +439,14 @@ def components(docs: DataFrame, ngram: int = 5, percent: int = 80, id_col: str =
     placed = clusters.withColumnRenamed("component", "cluster").join(classes.withColumnRenamed("rep", "node").withColumnRenamed("least", "id"), "node").withColumn("step", step)
     by_step = placed.groupBy("cluster", "step").agg(F.count(F.lit(1)).alias("size"))
     of = Window.partitionBy("cluster").orderBy("step")
-    beside = lambda move, there: F.when(move("step", 1).over(of) == F.col("step") + there, F.ceil(move("size", 1).over(of) / BLOCK)).otherwise(0).cast("int")
+    fit = F.floor(BLOCK_TOKENS / F.pow(F.lit((100 / percent) ** 1.01), F.col("step") + 1))
+    by_step = by_step.withColumn("blocks", F.ceil(F.col("size") / F.greatest(F.lit(BLOCK), F.least(F.lit(BLOCK * WIDER), fit))).cast("int"))
+    beside = lambda move, there: F.when(move("step", 1).over(of) == F.col("step") + there, move("blocks", 1).over(of)).otherwise(0)
     whole = F.sum("size").over(Window.partitionBy("cluster")) <= BLOCK
-    by_step = by_step.select("cluster", "step", whole.alias("alone"), F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"), beside(F.lag, -1).alias("below"), beside(F.lead, 1).alias("above"))
+    by_step = by_step.select("cluster", "step", whole.alias("alone"), "blocks", beside(F.lag, -1).alias("below"), beside(F.lead, 1).alias("above"))
     members = scratch.keep(placed.join(by_step, ["cluster", "step"]).select("node", *source, "cluster", "step", "alone", "blocks", "below", "above", "weight"), "members")
     groups = max(1, members.count() // BLOCK)
-    bit = F.pmod(F.xxhash64("id", F.lit("filter")), F.lit(FILTER_WORDS * 64))
-    in_word = members.select(F.floor(bit / 64).cast("int").alias("word"), F.expr("shiftleft(1L, cast(pmod(xxhash64(id, 'filter'), 64) as int))").alias("bit"))
-    words = in_word.groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    likely = (
-        texts.where("known").select(*source, "text", F.floor(bit / 64).cast("int").alias("word"), F.pmod(F.xxhash64("id", F.lit("filter")), F.lit(64)).cast("int").alias("place"))
-        .join(F.broadcast(words), "word")
-        .where(F.expr("getbit(bits, place) = 1"))
-        .select(*source, "text")
-    )
+    likely = _filtered(texts.where("known").select(*source, "text"), F.col("id"), members, "id").where("_inside").drop("_inside")
     named_block = lambda step, place: step.cast("long") * (1 << 24) + place
     own = named_block(F.col("step"), F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")))
     every = lambda n, there: F.transform(F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.expr("cast(array() as array<int>)")), lambda i: named_block(F.col("step") + there, i))
@@ -471,4 +508,8 @@ def representatives(docs: DataFrame, ngram: int = 5, percent: int = 80, id_col:
     """The columns of docs for one document of each component, that with the smallest id; null ids stay."""
     found = components(docs, ngram, percent, id_col, text_col)
     gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    gone = Workspace(docs.sparkSession).keep(gone, "gone")
+    # only documents that the filter takes for dropped ones are shuffled
+    marked = _filtered(docs, F.col(id_col).cast(gone.schema["_gone"].dataType), gone, "_gone")
+    likely = marked.where("_inside").join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    return marked.where("not _inside").select(*docs.columns).unionByName(likely.select(*docs.columns))
